@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import mixing, quality_rules, url_filters
+from folioflow.llm import decontaminate, language_id, mixing, quality_rules, token_counts, url_filters
 from folioflow.llm.common import table
 
 
@@ -10,13 +10,25 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.contract_rules(spark))
 
 
+def op8_token_counts(spark, sf_dir):
+    return token_counts.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_url_filters, op9_quality_rules)}
-ORACLE = {"op2_source_mixing": mixing.SQL, "op4_url_filters": url_filters.SQL, "op9_quality_rules": quality_rules.SQL}
+def op10_language_id(spark, sf_dir):
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_decontamination, op4_url_filters, op8_token_counts, op9_quality_rules, op10_language_id)}
+ORACLE = {"op2_source_mixing": mixing.SQL, "op3_decontamination": decontaminate.SQL, "op4_url_filters": url_filters.SQL, "op9_quality_rules": quality_rules.SQL}
