@@ -1,0 +1,27 @@
+"""Connected components of a graph of longs, by hooking to the smallest neighbour label and pointer jumping.
+
+Every round is two joins and a written table; nothing but the number of changed labels comes to the driver. Components
+need about the logarithm of their diameter in rounds. Labels are joined from written tables, so that adaptive
+execution can split the partition of a label that most vertices share.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.llm.common import saved
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, label) of every vertex of ``edges`` (a, b); the label is the component's smallest vertex."""
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("v"), "p"))
+    while True:
+        seen = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("p").alias("q"))
+        hooked = saved(labels.join(seen, F.col("v") == F.col("a"), "left").select("v", F.least("p", "q").alias("p"), F.col("p").alias("old")))
+        up = hooked.select(F.col("v").alias("w"), F.col("p").alias("up"))
+        jumped = saved(hooked.join(up, F.col("p") == F.col("w")).select("v", F.col("up").alias("p"), "old"))
+        labels = jumped.select("v", "p")
+        if not jumped.where("p <> old").count():
+            return labels.withColumnRenamed("p", "label")

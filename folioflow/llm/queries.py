@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontaminate, language_id, mixing, quality_rules, token_counts, url_filters
+from folioflow.llm import decontaminate, language_id, mixing, quality_rules, secrets, simhash, token_counts, url_filters
 from folioflow.llm.common import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), url_filters.contract_rules(spark))
 
 
+def op5_secret_scan(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.digest(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_decontamination, op4_url_filters, op8_token_counts, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_source_mixing, op3_decontamination, op4_url_filters, op5_secret_scan, op8_token_counts, op9_quality_rules, op10_language_id)}
 ORACLE = {"op2_source_mixing": mixing.SQL, "op3_decontamination": decontaminate.SQL, "op4_url_filters": url_filters.SQL, "op9_quality_rules": quality_rules.SQL}

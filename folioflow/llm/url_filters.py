@@ -36,7 +36,7 @@ def _keyed(df: DataFrame, host: Column, path: Column) -> DataFrame:
     return df.withColumn("_digest", digest).withColumn("_short", F.substring("_digest", 1, PREFIX_HEX))
 
 
-def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct urls of ``pages`` that some rule fits, with the winning rule and its action."""
     r = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("action").alias("r_action")).where("r_host is not null and r_path is not null and r_action is not null").distinct()
     r = _keyed(r, F.col("r_host"), F.col("r_path"))
@@ -58,14 +58,15 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row per row of ``pages``: page_id, url, host, path, rule (null if none fits) and verdict."""
-    j = judged(pages, rules, default).withColumnRenamed("url", "_url")
+    j = judged(pages, rules).withColumnRenamed("url", "_url")
     p = pages.select("page_id", "url")
     out = p.join(j, F.col("url") == F.col("_url"), "left")
     return out.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
 def contract_rules(spark) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, action string")
+    values = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in RULES)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, action)")
 
 
 SQL = r"""
