@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontaminate, language_id, mixing, quality_rules, secrets, simhash, substring_dedup, token_counts, url_filters
+from folioflow.llm import decontaminate, html_extract, language_id, mixing, quality_rules, secrets, simhash, substring_dedup, token_counts, url_filters
 from folioflow.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_source_mixing, op3_decontamination, op4_url_filters, op5_secret_scan, op7_substring_dedup, op8_token_counts, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_source_mixing, op3_decontamination, op4_url_filters, op5_secret_scan, op6_html_extraction, op7_substring_dedup, op8_token_counts, op9_quality_rules, op10_language_id)}
 ORACLE = {"op2_source_mixing": mixing.SQL, "op3_decontamination": decontaminate.SQL, "op4_url_filters": url_filters.SQL, "op7_substring_dedup": substring_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
