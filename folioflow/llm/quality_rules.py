@@ -51,7 +51,9 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
         "n_words": n, "word_chars": F.length(F.translate(t, SPACE_CHARS, "")), "n_symbols": count(SYMBOLS), "n_lines": F.size("_l"),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": F.when(p.isNull(), 0).otherwise(cover), "n_bangs": count("!"), "n_stutter": stutter,
     }
-    return d.withColumn("_m", F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])).drop("_w", "_l", "_n", "_h", "_s", "_p")
+    # the generator keeps filters on the measurements above it: below, they would repeat the whole work inside lambdas
+    m = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in measures.items()])))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], m.alias("_m"))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -112,7 +112,7 @@ class FingerprintIndex:
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Index one batch (doc_id, text); gives the batch's anchors: doc_id, th and a struct of arrays a."""
-        found = saved(_keyed(batch).select("doc_id", "th", _anchors("text").alias("a")).where(F.size("a.h") > 0))
+        found = saved(_keyed(batch).select("doc_id", "th", _anchors("text").alias("a")))
         counts = found.select(F.explode("a.h").alias("h")).groupBy("h").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
         run = saved(counts.sortWithinPartitions("h"))
         for old in self.runs:
