@@ -1,0 +1 @@
+"""folioflow: document and access-stream analytics as lazy DataFrame operators."""
