@@ -1,56 +1,24 @@
-"""What the operators of this subpackage share: reading tables, and cutting lineage with written tables."""
+"""What the operators of this subpackage share: reading tables, and the contracts' words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.shared import written as saved
+
+__all__ = ["SPACE", "SPACE_CHARS", "saved", "table", "trimmed", "word_count", "words"]
+
 #: A word of the contracts: the longest run of characters that are not ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_written: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, whatever store the folder lies in."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("folioflow.shared.dir", None)
-    if not where:
-        Path("/tmp/checkpoints").mkdir(exist_ok=True)
-        where = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.conf.set("folioflow.shared.dir", where)
-    return where.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder.
-
-    This cuts lineage: later stages read the files, also after the executors that made them are lost.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``saved`` has written in this process; call it once their readers are done."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
 
@@ -65,8 +33,3 @@ def word_count(text: Column) -> Column:
     """Number of words, without building them: a word starts at the text's start and after each run of white space."""
     t = trimmed(text)
     return F.when(t == "", F.lit(0)).otherwise(F.regexp_count(t, F.lit(f"{SPACE}+")) + 1).cast("long")
-
-
-def row_key(*columns: str) -> Column:
-    """Key that tells rows apart by their values; nulls equal each other inside the struct."""
-    return F.struct(*[F.col(c) for c in columns])

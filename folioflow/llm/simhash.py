@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import saved
-from folioflow.llm.components import components
+from folioflow.operators.graph import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 SLICE = 1 << 16
@@ -151,10 +151,10 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(fp, root, component_id) of every fingerprint of ``docs`` (doc_id, fp)."""
     first = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = components(links(first.select("fp"), distance))
-    linked = saved(linked.join(first, F.col("v") == F.col("fp")).select("fp", "label", "first_id"))
-    ids = saved(linked.groupBy("label").agg(F.min("first_id").alias("component_id")).withColumnRenamed("label", "root"))
-    named = saved(linked.join(ids, F.col("label") == F.col("root")).select(F.col("fp").alias("v"), "root", "component_id"))
+    linked = components(links(first.select("fp"), distance).toDF("id1", "id2"))
+    linked = saved(linked.join(first, F.col("id") == F.col("fp")).select("fp", "component", "first_id"))
+    ids = saved(linked.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumnRenamed("component", "root"))
+    named = saved(linked.join(ids, F.col("component") == F.col("root")).select(F.col("fp").alias("v"), "root", "component_id"))
     out = first.join(named, F.col("fp") == F.col("v"), "left")
     return saved(out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
 
