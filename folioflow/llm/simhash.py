@@ -172,4 +172,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     d = saved(packed.select("doc", F.col("doc.doc_id").alias("doc_id"), fingerprint_column(F.col("doc.text")).alias("fp"), F.monotonically_increasing_id().alias("row")))
     roots = classes(d.select("doc_id", "fp")).select(F.col("fp").alias("v"), "root")
     stays = d.select("doc_id", "fp", "row").join(roots, F.col("fp") == F.col("v"), "left").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
-    return d.join(saved(stays.select("x.row")), "row", "left_semi").select("doc.*")
+    # the texts are always dealt by row: one plan at every size
+    return d.join(saved(stays.select("x.row")).hint("shuffle_merge"), "row", "left_semi").select("doc.*")
