@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,25 +26,44 @@ def whitespace_tokens(text: Column, lower: bool = True) -> Column:
     return F.filter(F.split(F.lower(t) if lower else t, r"\s+"), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row: inside lambdas an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _characters(text: Column) -> Column:
+    """Array of the characters of the lower-cased text: substrings of a long text would each count from its start."""
+    return F.filter(F.split(F.lower(text_or_empty(text)), ""), lambda c: c != "")
+
+
 def char_shingles(text: Column, k: int = 3) -> Column:
     """Distinct runs of k characters of the lower-cased text; a shorter text is its own shingle, an empty one has none."""
-    t = F.lower(text_or_empty(text))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < k, F.array(t)).otherwise(F.array_distinct(runs))
+
+    def of(c: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - k, F.lit(0))), lambda i: F.concat(*[F.get(c, i + j) for j in range(k)]))
+        return F.when(F.size(c) == 0, F.array().cast("array<string>")).when(F.size(c) < k, F.array(F.array_join(c, ""))).otherwise(F.array_distinct(runs))
+
+    return bound(_characters(text), of)
 
 
 def word_shingles(text: Column, k: int = 2) -> Column:
     """Distinct runs of k words, joined by blanks; fewer words are one shingle."""
-    w = whitespace_tokens(text)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
+
+    return bound(whitespace_tokens(text), of)
 
 
 def positioned_shingles(text: Column, k: int = 3) -> Column:
     """Every run of k characters with its place from 0, repeats included; none for shorter texts."""
-    t = F.lower(text_or_empty(text))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.length(t) - k, F.lit(0))), lambda i: F.struct(F.substring(t, i + 1, F.lit(k)).alias("shingle"), i.alias("position")))
-    return F.when(F.length(t) < k, F.filter(runs, lambda x: F.lit(False))).otherwise(runs)
+
+    def of(c: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - k, F.lit(0))), lambda i: F.struct(F.concat(*[F.get(c, i + j) for j in range(k)]).alias("shingle"), i.alias("position")))
+        return F.when(F.size(c) < k, F.slice(runs, 1, 0)).otherwise(runs)
+
+    return bound(_characters(text), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -32,7 +32,8 @@ def shingled(docs: DataFrame, k: int = 3, mode: str = "char", text: Column | Non
     if mode not in ("char", "word"):
         raise ValueError(f"unknown mode {mode}")
     t = full_text() if text is None else text
-    return docs.select(F.col("_id").alias("id"), (char_shingles(t, k) if mode == "char" else word_shingles(t, k)).alias("shingles"))
+    # the generator makes a column of the set, computed once whatever is done with it
+    return docs.select(F.col("_id").alias("id"), F.explode(F.array(char_shingles(t, k) if mode == "char" else word_shingles(t, k))).alias("shingles"))
 
 
 def positions(docs: DataFrame, k: int = 3, text: Column | None = None) -> DataFrame:
