@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folioflow.operators.shared import written
 
+#: Rounds of PageRank between two written tables.
+ROUNDS = 4
+
 
 def tag_network(docs: DataFrame) -> DataFrame:
     """(src, dst) of documents that share a tag (case counts), both directions, each pair once.
@@ -43,17 +46,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     links = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     links = written(links.join(degree.withColumnRenamed("id", "src"), "src"))
     ranks = degrees.select("id", "degree", F.lit(1.0 / n).alias("score"))
-    for step in range(fixed if fixed is not None else max_iterations):
-        given = links.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
-        lost = ranks.where("degree is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        new = ranks.join(given, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row is broadcast
-        score = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)
-        new = new.select("id", "degree", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
-        if fixed is None or step % 4 == 3:
-            new = written(new)
-        ranks = new.select("id", "degree", "score")
-        if fixed is None and new.agg(F.sum("change")).first()[0] < tolerance:
-            break
+    left = fixed if fixed is not None else max_iterations
+    while left > 0:
+        rounds = min(ROUNDS, left)
+        left -= rounds
+        new = ranks.withColumn("s0", F.col("score")).drop("score")
+        for k in range(rounds):  # one job for several rounds
+            given = links.join(new.select(F.col("id").alias("src"), F.col(f"s{k}").alias("score")), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
+            lost = new.where("degree is null").agg(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias("lost"))
+            new = new.join(given, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row is broadcast
+            new = new.withColumn(f"s{k + 1}", (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).drop("dst", "given", "lost")
+        new = written(new)
+        last = rounds
+        if fixed is None:
+            changes = new.agg(*[F.sum(F.abs(F.col(f"s{k + 1}") - F.col(f"s{k}"))) for k in range(rounds)]).first()
+            last = next((k + 1 for k, c in enumerate(changes) if c < tolerance), rounds)
+            left = left if changes[last - 1] >= tolerance else 0
+        ranks = new.select("id", "degree", F.col(f"s{last}").alias("score"))
     total = ranks.agg(F.sum("score").alias("total"))
     return ranks.crossJoin(F.broadcast(total)).select("id", (F.col("score") / F.col("total")).alias("score"))
 

@@ -46,15 +46,23 @@ tm AS (SELECT a.s AS from_state, b.s AS to_state, CASE WHEN sum(coalesce(n, 0))
 GRAPH = """ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 ed AS (SELECT * FROM (SELECT lpad(CAST(k AS VARCHAR), 3, '0') AS src, lead(lpad(CAST(k AS VARCHAR), 3, '0')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev) WHERE dst IS NOT NULL),
 nd AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed)"""
-PAGERANK = GRAPH + """,
+
+
+def _pagerank(rounds: int, head: str) -> str:
+    """CTEs over ed (src, dst) and nd (id); the result is pr (id, score)."""
+    out = head + """,
 dg AS (SELECT nd.id, count(src) AS degree FROM nd LEFT JOIN ed ON src = id GROUP BY nd.id),
 lk AS (SELECT DISTINCT src, dst FROM ed), nn AS (SELECT count(*) AS n FROM nd),
 p0 AS (SELECT id, degree, 1.0::DOUBLE / n AS score FROM dg, nn)"""
-for _i in range(20):
-    PAGERANK += f""",
-p{_i + 1} AS MATERIALIZED (SELECT p.id, p.degree, 0.15 / n + 0.85 * (coalesce(g, 0) + coalesce(lost, 0) / n) AS score FROM p{_i} p
-  LEFT JOIN (SELECT dst, sum(q.score / q.degree) AS g FROM lk JOIN p{_i} q ON q.id = lk.src GROUP BY dst) ON dst = p.id, nn, (SELECT sum(score) AS lost FROM p{_i} WHERE degree = 0))"""
-PAGERANK += ", pr AS (SELECT id, score / sum(score) OVER () AS score FROM p20)"
+    for i in range(rounds):
+        out += f""",
+p{i + 1} AS MATERIALIZED (SELECT p.id, p.degree, 0.15 / n + 0.85 * (coalesce(g, 0) + coalesce(lost, 0) / n) AS score FROM p{i} p
+  LEFT JOIN (SELECT dst, sum(q.score / q.degree) AS g FROM lk JOIN p{i} q ON q.id = lk.src GROUP BY dst) ON dst = p.id, nn, (SELECT sum(score) AS lost FROM p{i} WHERE degree = 0))"""
+    return out + f", pr AS (SELECT id, score / sum(score) OVER () AS score FROM p{rounds})"
+
+
+PAGERANK = _pagerank(20, GRAPH)
+TAG_GRAPH = f"{DOCS}, ed AS MATERIALIZED (SELECT DISTINCT a._id AS src, b._id AS dst FROM tags a JOIN tags b ON a.tag = b.tag AND a._id <> b._id), nd AS (SELECT DISTINCT src AS id FROM ed)"
 ADJACENT = GRAPH + ", adj AS (SELECT src, list_sort(list(DISTINCT dst)) AS nx FROM ed GROUP BY src)"
 
 
@@ -113,6 +121,13 @@ _RES = "sm AS (SELECT event_id, user_id, event_type AS query, k AS results_count
 _STATIONARY = f"WITH {MATRIX}, v0 AS (SELECT s AS state, 1.0::DOUBLE / count(*) OVER () AS probability FROM ss)" + "".join(f", v{i + 1} AS MATERIALIZED (SELECT to_state AS state, sum(prob * probability) AS probability FROM tm JOIN v{i} ON from_state = state GROUP BY to_state)" for i in range(200))
 _TOPLIST = "(SELECT string_agg(x || ':' || n, ',' ORDER BY n DESC, x) FROM (SELECT {c} AS x, count(*) AS n FROM sm GROUP BY 1 ORDER BY n DESC, x LIMIT 5))"
 
+_POWER = f"WITH {MATRIX}, q1 AS (SELECT * FROM tm)" + "".join(f", q{2 * k} AS MATERIALIZED (SELECT a.from_state, b.to_state, sum(a.prob * b.prob) AS prob FROM q{k} a JOIN q{k} b ON a.to_state = b.from_state GROUP BY ALL)" for k in (1, 2, 4, 8, 16, 32))
+_HITTING = f"WITH {MATRIX}, h0 AS (SELECT s AS state, 0.0::DOUBLE AS steps FROM ss)" + "".join(f", h{k + 1} AS MATERIALIZED (SELECT from_state AS state, CASE WHEN from_state = 'purchase' THEN 0.0 ELSE 1 + sum(prob * steps) END AS steps FROM tm JOIN h{k} ON to_state = state GROUP BY from_state)" for k in range(250))
+_TRAJECTORY = f"""WITH {MATRIX}, up AS (SELECT *, sum(prob) OVER (PARTITION BY from_state ORDER BY to_state) AS upper FROM tm WHERE prob > 0), nx AS (SELECT from_state, list({{'u': upper, 't': to_state}} ORDER BY upper) AS l FROM up GROUP BY 1),
+al AS (SELECT list_sort(list(s)) AS a FROM ss), t0 AS (SELECT w, a[{_draw('len(a)', "'42:start:' || w")} + 1] AS state FROM range(50) AS r(w), al)""" + "".join(
+    f", t{k} AS MATERIALIZED (SELECT w, coalesce(list_filter(l, lambda x: x.u > {_draw('4294967296', f"'42:' || w || ':{k}'")} / 4294967296.0::DOUBLE)[1].t, l[-1].t) AS state FROM t{k - 1} JOIN nx ON from_state = state)" for k in range(1, 10)
+)
+
 ORACLE = {
     "search_topk": f"WITH {DOCS}, h AS (SELECT _id, ord, len(list_filter({_Q}, lambda q: list_contains(tok, q) OR list_contains({_tokens('title')}, q))) AS hits, len(list_filter({_Q}, lambda q: list_contains({_tokens('title')}, q))) AS th, len(list_filter({_Q}, lambda q: list_contains(list_slice(tok, 1, 3), q))) AS gh, list_position(list_transform({_Q}, lambda q: list_contains(tok, q) OR list_contains({_tokens('title')}, q)), true) AS fp FROM docs) SELECT _id, (hits + 3.0 * th + 2.0 * gh + {0.5 if len(_SEARCHED) > 1 else 0} * hits)::DOUBLE AS score FROM h WHERE hits > 0 ORDER BY score DESC, fp, ord LIMIT 10",
     "search_by_tag": f"WITH {DOCS} SELECT _id FROM docs WHERE list_contains(tok, 'that')",
@@ -156,6 +171,11 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "stationary_fixed20": f"{_STATIONARY} SELECT state, round(probability, 6) AS probability FROM v20",
     "stationary": f"{_STATIONARY} SELECT state, round(probability, 6) AS probability FROM v200",
     "n_step": f"WITH {MATRIX}, t2 AS (SELECT a.from_state, b.to_state, sum(a.prob * b.prob) AS prob FROM tm a JOIN tm b ON a.to_state = b.from_state GROUP BY ALL) SELECT a.from_state, b.to_state, round(sum(a.prob * b.prob), 6) AS prob FROM t2 a JOIN tm b ON a.to_state = b.from_state GROUP BY ALL",
+    "chain_flags": f"{_POWER} SELECT (SELECT count(*) FROM ss) AS num_states, (SELECT count(*) FROM q64 WHERE prob > 0) = (SELECT count(*) * count(*) FROM ss) AS is_irreducible, EXISTS (SELECT 1 FROM tm WHERE from_state = to_state AND prob > 0) AS is_aperiodic",
+    "hitting_exact": f"{_HITTING} SELECT state, round(steps, 6) AS steps FROM h250",
+    "markov_trajectories": f"{_TRAJECTORY} " + " UNION ALL ".join(f"SELECT w AS walk_id, {k}::BIGINT AS step, state FROM t{k}" for k in range(10)),
+    "document_importance": f"WITH {_pagerank(12, TAG_GRAPH)} SELECT id, round(score, 6) AS score, title, coalesce(category, 'unknown') AS category FROM (SELECT id, score FROM pr ORDER BY score DESC, id LIMIT 10) JOIN docs ON _id = id",
+    "pagerank_converged": f"WITH {_pagerank(60, GRAPH)} SELECT id, round(score, 6) AS score FROM pr",
     "tag_network": f"WITH {DOCS} SELECT DISTINCT a._id AS src, b._id AS dst FROM tags a JOIN tags b ON a.tag = b.tag AND a._id <> b._id",
     "pagerank_fixed20": f"WITH {PAGERANK} SELECT id, round(score, 6) AS score FROM pr",
     "pagerank_stats": f"WITH {PAGERANK} SELECT (SELECT count(*) FROM nd) AS num_nodes, (SELECT count(*) FROM ed) AS num_edges, round(avg(score), 6) AS avg_pagerank, round(max(score), 6) AS max_pagerank, round(min(score), 6) AS min_pagerank, round(stddev_pop(score), 6) AS std_pagerank, round((SELECT count(*) FROM ed) / (SELECT count(*) FROM nd), 6) AS avg_out_degree, round((SELECT count(*) / count(DISTINCT dst) FROM ed), 6) AS avg_in_degree FROM pr",
@@ -200,6 +220,9 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "duplicate_groups": f"{GROUPS.format(head=LSH)} SELECT id, component FROM gr",
     "largest_duplicate_groups": f"{GROUPS.format(head=LSH)} SELECT component, count(*) AS size FROM gr GROUP BY 1 ORDER BY size DESC, component LIMIT 5",
     "similar_by_category": f"WITH {LSH}, c AS (SELECT class_id, category, count(*) AS n FROM mem JOIN docs ON _id = id GROUP BY ALL) SELECT x.category, id1 AS class1, id2 AS class2, round(similarity, 6)::DOUBLE AS similarity, x.n AS n1, y.n AS n2 FROM pw JOIN c x ON x.class_id = id1 JOIN c y ON y.class_id = id2 AND y.category = x.category WHERE similarity >= 0.7 AND (id1 <> id2 OR x.n > 1)",
+    "similarity_distribution": f"WITH {LSH}, e AS (SELECT similarity::DOUBLE AS s, unnest(range(CASE WHEN id1 = id2 THEN n1 * (n1 - 1) ELSE 2 * n1 * n2 END)) FROM pw WHERE similarity >= 0.1) SELECT count(*) AS count, round(avg(s), 6) AS mean, round(coalesce(stddev_samp(s), 0), 6) AS stdev, min(s) AS min, max(s) AS max, round(median(s), 6) AS median FROM e",
+    "system_stats": f"WITH {DOCS}, {EVENTS}, c AS (SELECT list_sum(list_transform(string_split(_id, ''), lambda c: unicode(c))) % 2500 AS b, count(*) AS n FROM docs GROUP BY 1) SELECT (SELECT count(*) FROM docs) AS num_documents, (SELECT count(DISTINCT w) FROM (SELECT unnest(list_concat(tok, {_tokens('title')})) AS w FROM docs)) AS vocabulary_size, (SELECT count(DISTINCT tag) FROM tags) AS unique_tags, (SELECT count(*) FROM acc) AS total_accesses, CAST(sum(n) AS BIGINT) AS total_items, 2500::BIGINT AS table_size, round(sum(n) / 2500, 6) AS load_factor, 2500 - count(*) AS empty_buckets, max(n) AS max_chain_length, round(sum(n) / count(*), 2) AS avg_chain_length FROM c",
+    "stream_tumbling": "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL HAVING (CAST(floor(min(epoch(ts)) / 3600) AS BIGINT) + 1) * 3600 <= (SELECT max(epoch(ts)) - 600 FROM events)",
     "event_tumbling": "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL",
     "event_sliding": "SELECT s AS start_s, count(*) AS n FROM (SELECT (CAST(floor(epoch(ts) / 1800) AS BIGINT) - x) * 1800 AS s FROM events, (VALUES (0), (1)) AS v(x)) GROUP BY 1",
     "event_sessions": "WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, t, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start_us, count(*) AS n FROM s GROUP BY user_id, k",

@@ -267,7 +267,12 @@ def neighbour_recs(spark, sf):
 @query
 def document_importance(spark, sf):
     e = graph.written(graph.tag_network(views.documents(spark, sf)))
-    return graph.importance(e, graph.pagerank(e), views.documents(spark, sf), 10)
+    return graph.importance(e, graph.pagerank(e, fixed=12), views.documents(spark, sf), 10)
+
+
+@query
+def pagerank_converged(spark, sf):
+    return graph.pagerank(graph.written(views.navigation(spark, sf)))
 
 
 @query
