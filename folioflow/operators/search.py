@@ -36,9 +36,11 @@ def search(docs: DataFrame, query: str, n: int = 10) -> DataFrame:
         return docs.limit(0).withColumn("score", F.lit(0.0))
     q = F.array(*map(F.lit, words))
     hits = lambda tokens: F.size(F.filter(q, lambda w: F.array_contains(tokens, w)))
-    d = docs.withColumn("_t", all_tokens(docs)).withColumn("_hits", hits(F.col("_t"))).where("_hits > 0")
-    score = F.col("_hits") + 3.0 * hits(normalized_tokens(F.col("title"))) + 2.0 * hits(tag_tokens(F.col("tags"))) + (0.5 * F.col("_hits") if len(words) > 1 else F.lit(0.0))
-    first = F.array_position(F.transform(q, lambda w: F.array_contains(F.col("_t"), w)), True)
+    tokens = F.struct(all_tokens(docs).alias("all"), normalized_tokens(F.col("title")).alias("title"), tag_tokens(F.col("tags")).alias("tags"))
+    d = docs.select("*", F.explode(F.array(tokens)).alias("_t"))  # the generator makes a column of the tokens, computed once
+    d = d.withColumn("_hits", hits(F.col("_t.all"))).where("_hits > 0")
+    score = F.col("_hits") + 3.0 * hits(F.col("_t.title")) + 2.0 * hits(F.col("_t.tags")) + (0.5 * F.col("_hits") if len(words) > 1 else F.lit(0.0))
+    first = F.array_position(F.transform(q, lambda w: F.array_contains(F.col("_t.all"), w)), True)
     return d.withColumn("score", score).withColumn("_first", first).orderBy(F.desc("score"), "_first", "ord").limit(n).drop("_t", "_hits", "_first")
 
 
