@@ -164,6 +164,18 @@ def trajectories(matrix: DataFrame, start: str | None, steps: int, walks: int =
     return at.select("walk_id", F.posexplode("path").alias("step", "state"))
 
 
+def simulated_time(matrix: DataFrame, target: str, start: str | None = None, runs: int = 1000, steps: int = 100, seed: str = "42") -> DataFrame:
+    """One row: mean steps to the target over the simulated runs that reach it (infinite if none does), and how many did."""
+    first = trajectories(matrix, start, steps, runs, seed).where(F.col("state") == target).groupBy("walk_id").agg(F.min("step").alias("steps"))
+    return first.agg(F.coalesce(F.avg("steps"), F.lit(float("inf"))).alias("expected_time"), F.count("*").alias("reached"))
+
+
+def with_probability(matrix: DataFrame, from_state: str, to_state: str, probability: float) -> DataFrame:
+    """The matrix with one entry set; ``normalized`` then scales its row."""
+    here = (F.col("from_state") == from_state) & (F.col("to_state") == to_state)
+    return matrix.withColumn("prob", F.when(here, F.lit(float(probability))).otherwise(F.col("prob")))
+
+
 def matrix_view(matrix: DataFrame) -> DataFrame:
     """The matrix as one row per state, a column per next state."""
     return matrix.groupBy("from_state").pivot("to_state").agg(F.first("prob")).orderBy("from_state")

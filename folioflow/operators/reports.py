@@ -181,3 +181,14 @@ def compare_jobs(jobs: DataFrame) -> DataFrame:
     """Jobs with advice and whether they are the best or the worst by score."""
     ends = jobs.agg(F.max_by("job", F.struct("score", "job")).alias("best"), F.min_by("job", F.struct("score", "job")).alias("worst"))
     return jobs.crossJoin(F.broadcast(ends)).select(*jobs.columns, (F.col("job") == F.col("best")).alias("is_best"), (F.col("job") == F.col("worst")).alias("is_worst"), advice().alias("advice"))  # one row
+
+
+def document_report(docs: DataFrame, states: DataFrame) -> dict[str, DataFrame]:
+    """The five analyses as tables; ``show`` prints them."""
+    return {"words": word_count(docs), "categories": category_statistics(docs), "tags": tag_counts(docs), "tag pairs": tag_pairs(docs), "transitions": state_transitions(states), "efficiency": efficiency_by_state(states)}
+
+
+def show(report: dict[str, DataFrame], rows: int = 20) -> None:
+    for title, table in report.items():
+        print(title)
+        table.show(rows, truncate=False)

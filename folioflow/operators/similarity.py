@@ -226,7 +226,21 @@ class LshIndex:
         x = p.join(c.select(F.col("class_id").alias("id1"), "category", F.col("n").alias("n1")), "id1").join(c.select(F.col("class_id").alias("id2"), "category", F.col("n").alias("n2")), ["id2", "category"])
         return x.where("id1 <> id2 or n1 > 1").select("category", F.col("id1").alias("class1"), F.col("id2").alias("class2"), "similarity", "n1", "n2")
 
-
-def largest_groups(groups: DataFrame, n: int = 5) -> DataFrame:
-    """(component, size): the largest duplicate groups."""
-    return groups.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(n)
+    def largest_groups(self, threshold: float = 0.9, n: int = 5) -> DataFrame:
+        """(component, size, pairs): the duplicate groups of most pairs of documents at the threshold."""
+        m = self.groups(threshold)
+        sizes = m.groupBy("component").agg(F.count("*").alias("size"))
+        of_class = self.classes.select(F.col("id").alias("id1")).join(m.withColumnRenamed("id", "id1"), "id1")
+        w = F.when(F.col("id1") == F.col("id2"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2"))
+        pairs = self.pairs_with_members(threshold).join(of_class, "id1").groupBy("component").agg(F.sum(w).cast("long").alias("pairs"))
+        return sizes.join(pairs, "component").orderBy(F.desc("pairs"), "component").limit(n)
+
+    def report(self, threshold: float = 0.9) -> dict[str, DataFrame]:
+        """The similarity report as tables."""
+        return {"index": self.statistics(), "groups": self.groups(threshold), "largest groups": self.largest_groups(threshold), "distribution": self.distribution(), "savings": self.savings()}
+
+
+def pair_similarity(sets: DataFrame, id1: str, id2: str) -> DataFrame:
+    """One row: the exact similarity of two documents by id, 0 if one is unknown."""
+    own = lambda x: F.max(F.when(F.col("id") == x, F.struct("shingles")))
+    return sets.where(F.col("id").isin(id1, id2)).agg(own(id1).alias("a"), own(id2).alias("b")).select(F.coalesce(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), jaccard(F.col("a.shingles"), F.col("b.shingles"))), F.lit(0.0)).alias("similarity"))

@@ -218,7 +218,9 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "lsh_stats": f"WITH {LSH}, b AS (SELECT band, bucket, sum(members) AS n FROM bd GROUP BY ALL) SELECT (SELECT count(*) FROM sg) AS num_documents, {BANDS}::BIGINT AS num_bands, {_ROWS}::BIGINT AS rows_per_band, count(*) AS total_buckets, round(avg(n), 6) AS avg_bucket_size, (SELECT round(avg(candidates), 6) FROM cc) AS avg_candidates_per_doc, round(pow(1.0 / {BANDS}, 1.0 / {_ROWS}), 6) AS theoretical_threshold FROM b",
     "lsh_savings": f"WITH {LSH}, t AS (SELECT count(*) AS n, sum(candidates)::DOUBLE AS e FROM cc) SELECT n * (n - 1) / 2 AS total_pairs, e AS estimated_comparisons, round((1 - e / (n * (n - 1) / 2)) * 100, 6) AS reduction_percent, round((n * (n - 1) / 2) / e, 6) AS speedup FROM t",
     "duplicate_groups": f"{GROUPS.format(head=LSH)} SELECT id, component FROM gr",
-    "largest_duplicate_groups": f"{GROUPS.format(head=LSH)} SELECT component, count(*) AS size FROM gr GROUP BY 1 ORDER BY size DESC, component LIMIT 5",
+    "largest_duplicate_groups": f"{GROUPS.format(head=LSH)} SELECT component, count(*) AS size, (SELECT CAST(sum(CASE WHEN id1 = id2 THEN n1 * (n1 - 1) / 2 ELSE n1 * n2 END) AS BIGINT) FROM pw JOIN gr g2 ON g2.id = id1 WHERE similarity >= 0.9 AND g2.component = gr.component) AS pairs FROM gr GROUP BY 1 ORDER BY pairs DESC, component LIMIT 5",
+    "jaccard_pair": f"WITH {SETS} SELECT round(len(list_intersect(a.sh, b.sh)) / (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))), 6) AS similarity FROM sets a, sets b WHERE a.id = '1' AND b.id = '2'",
+    "markov_simulated_time": f"{_TRAJECTORY}, al2 AS (" + " UNION ALL ".join(f"SELECT w, {k} AS step, state FROM t{k}" for k in range(10)) + "), f AS (SELECT w, min(step) AS s FROM al2 WHERE state = 'purchase' GROUP BY w) SELECT round(avg(s), 6) AS expected_time, count(*) AS reached FROM f",
     "similar_by_category": f"WITH {LSH}, c AS (SELECT class_id, category, count(*) AS n FROM mem JOIN docs ON _id = id GROUP BY ALL) SELECT x.category, id1 AS class1, id2 AS class2, round(similarity, 6)::DOUBLE AS similarity, x.n AS n1, y.n AS n2 FROM pw JOIN c x ON x.class_id = id1 JOIN c y ON y.class_id = id2 AND y.category = x.category WHERE similarity >= 0.7 AND (id1 <> id2 OR x.n > 1)",
     "similarity_distribution": f"WITH {LSH}, e AS (SELECT similarity::DOUBLE AS s, unnest(range(CASE WHEN id1 = id2 THEN n1 * (n1 - 1) ELSE 2 * n1 * n2 END)) FROM pw WHERE similarity >= 0.1) SELECT count(*) AS count, round(avg(s), 6) AS mean, round(coalesce(stddev_samp(s), 0), 6) AS stdev, min(s) AS min, max(s) AS max, round(median(s), 6) AS median FROM e",
     "system_stats": f"WITH {DOCS}, {EVENTS}, c AS (SELECT list_sum(list_transform(string_split(_id, ''), lambda c: unicode(c))) % 2500 AS b, count(*) AS n FROM docs GROUP BY 1) SELECT (SELECT count(*) FROM docs) AS num_documents, (SELECT count(DISTINCT w) FROM (SELECT unnest(list_concat(tok, {_tokens('title')})) AS w FROM docs)) AS vocabulary_size, (SELECT count(DISTINCT tag) FROM tags) AS unique_tags, (SELECT count(*) FROM acc) AS total_accesses, CAST(sum(n) AS BIGINT) AS total_items, 2500::BIGINT AS table_size, round(sum(n) / 2500, 6) AS load_factor, 2500 - count(*) AS empty_buckets, max(n) AS max_chain_length, round(sum(n) / count(*), 2) AS avg_chain_length FROM c",

@@ -236,6 +236,11 @@ def markov_trajectories(spark, sf):
     return markov.trajectories(graph.written(markov.transition_matrix(views.states(spark, sf))), None, 10, 50)
 
 
+@query
+def markov_simulated_time(spark, sf):
+    return markov.simulated_time(graph.written(markov.transition_matrix(views.states(spark, sf))), "purchase", None, 50, 10)
+
+
 @query
 def tag_network(spark, sf):
     return graph.tag_network(views.documents(spark, sf))
@@ -457,6 +462,11 @@ def jaccard_similar_to(spark, sf):
     return similarity.similarity_to(_sets(spark, sf), "1", 0.3, 10)
 
 
+@query
+def jaccard_pair(spark, sf):
+    return similarity.pair_similarity(_sets(spark, sf), "1", "2")
+
+
 @query
 def minhash_signature(spark, sf):
     s = similarity.signatures(_sets(spark, sf), HASHES)
@@ -504,7 +514,7 @@ def duplicate_groups(spark, sf):
 
 @query
 def largest_duplicate_groups(spark, sf):
-    return similarity.largest_groups(_index(spark, sf).groups(0.9))
+    return _index(spark, sf).largest_groups(0.9)
 
 
 @query

@@ -50,6 +50,11 @@ def distinct_items(items: DataFrame, item: str, time: str = "ts", late: str = "1
     return items.withWatermark(time, late).dropDuplicatesWithinWatermark([item]).select(item)
 
 
+def first_documents(docs: DataFrame) -> DataFrame:
+    """Documents as they arrive, the first of each _id only: the ids are the state."""
+    return docs.dropDuplicates(["_id"])
+
+
 def bloom_bits(items: DataFrame, item: str, m: int = 10_000, k: int = 3) -> DataFrame:
     """Positions of the filter as they are set: at most m rows of state."""
     return items.select(F.explode(bloom_positions(F.col(item).cast("string"), m, k)).alias("pos")).dropDuplicates(["pos"])
