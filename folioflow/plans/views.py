@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores is dealt out anew; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """_id, ord, title (first six tokens), content, tags (distinct ones of the first three normalized tokens), category (source)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select(
         F.col("doc_id").cast("string").alias("_id"), F.col("doc_id").alias("ord"), F.array_join(F.slice(whitespace_tokens(F.col("text"), lower=False), 1, 6), " ").alias("title"),
         F.col("text").alias("content"), F.array_distinct(F.slice(normalized_tokens(F.col("text")), 1, 3)).alias("tags"), F.col("source").alias("category"),
