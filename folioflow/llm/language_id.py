@@ -6,7 +6,7 @@ code length of a byte is then a function of it and its context, so the trees bec
 (context, byte, language), and a text's code length in each language is a sum of lookups. The shortest wins.
 
 Training reads a bounded sample: the ``TRAIN_DOCS`` labelled rows of each language with the smallest hashes, of texts
-up to ``TRAIN_CHARS`` characters. Of order-3 contexts the ``CONTEXTS`` most counted are kept (the tree is pruned by
+up to ``TRAIN_CHARS`` characters, for the ``LANGUAGES`` most frequent languages. Of order-3 contexts the ``CONTEXTS`` most counted are kept (the tree is pruned by
 count; pruned contexts fall back to order 2), which bounds what is broadcast.
 
 Defined results: null, and texts without a letter, give ``und`` with score 0; the same holds for all rows where

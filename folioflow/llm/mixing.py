@@ -7,7 +7,8 @@ would exceed the total budget.
 
 No queue is ever gathered in one task: cumulative sums are made of sums by hash bucket (a source has 4,096 a round)
 plus a window within the bucket, and the global order is cut by sums over 4,096 bins of finish time for each unit of
-it, of which only the bin with the budget's end is ordered row by row.
+it, of which only the bin with the budget's end is ordered row by row. Sources get their weights by rank, in one window over
+a table of one row per source.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; null ids queue by the
 MD5 of an empty id; repeated rows are documents of their own, ordered by their place in the input; sizes of 0 take 0

@@ -116,6 +116,8 @@ def _paths(there: np.ndarray, home: np.ndarray, k: int, distance: int) -> list[n
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links whose components are those of all links among distinct fingerprints ``fp``."""
+    if not 0 <= distance <= 3:
+        raise ValueError("halves that differ in at most 1 bit are sure up to a distance of 3")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def groups(k: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:

@@ -96,7 +96,7 @@ def _anchors(text: str) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and th: a hash of the text that tells rows of one id apart."""
-    return docs.select("doc_id", F.hash("text").alias("th"), "text")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
 def _same(a: str, b: str) -> Column:
