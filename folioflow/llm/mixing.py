@@ -10,8 +10,8 @@ plus a window within the bucket, and the global order is cut by sums over 4,096
 it, of which only the bin with the budget's end is ordered row by row. Sources get their weights by rank, in one window over
 a table of one row per source.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; null ids queue by the
-MD5 of an empty id; repeated rows are documents of their own, ordered by their place in the input; sizes of 0 take 0
+Defined results: a null text has size 0; a null source is a source of its own, last in order; rows without an id queue by
+their place in the input; repeated rows are documents of their own, ordered by their place in the input; sizes of 0 take 0
 words; an empty table gives an empty result; of other columns none is read.
 """
 
@@ -58,7 +58,7 @@ def schedule(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies:
     few = targets.count() <= BROADCAST_SOURCES
     copies = sized.join(F.broadcast(targets) if few else targets, "_src")
     copies = copies.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(max_copies))))
-    copies = copies.withColumn("_order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("round").cast("string"))))
+    copies = copies.withColumn("_order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), F.col("_row").cast("string"))), F.lit(":"), F.col("round").cast("string"))))
     copies = copies.withColumn("_bucket", F.substring("_order", 1, BUCKET_HEX))
     keys = ["_src", "round", "_bucket"]
     own = F.sum("_sum").over(Window.partitionBy("_src").orderBy("round", "_bucket").rowsBetween(Window.unboundedPreceding, -1))
