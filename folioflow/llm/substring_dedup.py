@@ -154,7 +154,7 @@ def suspects(found: DataFrame, index: FingerprintIndex) -> DataFrame:
     rows = rows.join(kinds, (F.col("h") == F.col("h2")) & (F.col("u") == F.col("u2")))
     stands = F.col("mixed") & (F.col("n") > 1) & F.struct("doc_id", "th", "at").eqNullSafe(F.col("one"))
     lists = {"sure": F.col("n") > 1, "check": F.col("n") == 1, "stand": stands}
-    return rows.groupBy("doc_id", "th").agg(*[F.collect_list(F.when(c, F.col("at"))).alias(k) for k, c in lists.items()])
+    return rows.groupBy("doc_id", "th").agg(*[F.collect_set(F.when(c, F.col("at"))).alias(k) for k, c in lists.items()])
 
 
 def _starts(packed) -> np.ndarray:
