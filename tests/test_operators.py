@@ -258,6 +258,7 @@ def test_documents_round_trip(spark, tmp_path):
     assert d.select("_id").distinct().count() == 200 and sorted(map(str, documents.generate(spark, 200).collect())) == sorted(map(str, d.collect()))
     documents.write_json(d, str(tmp_path / "out"))
     again = documents.read_json(spark, str(tmp_path / "out"), multiline=False)
+    assert sorted(map(str, again.select(*d.columns).collect())) != [] and again.where("size(retrievalOptimization.searchPath) between 3 and 7 and lastAccessed like '%Z'").count() == 200
     assert again.count() == 200 and again.where("size(tags) = 3 and systemEfficiency.queueLength is not null").count() == 200
     (tmp_path / "a.json").write_text('[{"_id": "1", "title": "t"}, {"_id": "2", "tags": ["x"]}]', encoding="utf-8")
     assert [r["title"] for r in documents.read_json(spark, str(tmp_path / "a.json")).orderBy("_id").collect()] == ["t", None]
