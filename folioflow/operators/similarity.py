@@ -63,8 +63,9 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     if threshold <= 0:
         raise ValueError("pairs without a common shingle are not searched for: the threshold must be over 0")
     d = written(set_classes(sets).where("id = class_id").select("id", "shingles").where(F.size("shingles") > 0))
-    counts = d.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("f"))
-    ranked = d.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(counts, "s")
+    numbers = written(d.select("id", F.size("shingles").alias("n"), F.transform("shingles", lambda s: F.xxhash64(s)).alias("numbers")))  # candidates meet by number, texts decide
+    counts = numbers.select(F.explode("numbers").alias("s")).groupBy("s").agg(F.count("*").alias("f"))
+    ranked = numbers.select("id", "n", F.explode("numbers").alias("s")).join(counts, "s")
     place = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
     prefix = written(ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "s"))
     a, b = prefix.select(F.col("id").alias("id1"), F.col("n").alias("n1"), "s"), prefix.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "s")
