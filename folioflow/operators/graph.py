@@ -45,17 +45,21 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     degrees = written(nodes.join(degree, "id", "left"))
     links = edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
     links = written(links.join(degree.withColumnRenamed("id", "src"), "src"))
+    sinks = degrees.where("degree is null").count() > 0
     ranks = degrees.select("id", "degree", F.lit(1.0 / n).alias("score"))
     left = fixed if fixed is not None else max_iterations
     while left > 0:
         rounds = min(ROUNDS, left)
         left -= rounds
         new = ranks.withColumn("s0", F.col("score")).drop("score")
-        for k in range(rounds):  # one job for several rounds
-            given = links.join(new.select(F.col("id").alias("src"), F.col(f"s{k}").alias("score")), "src").groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("given"))
-            lost = new.where("degree is null").agg(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias("lost"))
-            new = new.join(given, F.col("id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))  # one row is broadcast
-            new = new.withColumn(f"s{k + 1}", (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).drop("dst", "given", "lost")
+        for k in range(rounds):  # one job for several rounds, one join and one shuffle by id in each
+            kept = ["degree", *[f"s{j}" for j in range(k + 1)]]
+            given = links.join(new.select(F.col("id").alias("src"), F.col(f"s{k}").alias("score")), "src").select(F.col("dst").alias("id"), (F.col("score") / F.col("degree")).alias("given"))
+            sums = given.unionByName(new.withColumn("given", F.lit(0.0)), allowMissingColumns=True).groupBy("id").agg(F.sum("given").alias("given"), *[F.max(c).alias(c) for c in kept])
+            if sinks:
+                lost = new.where("degree is null").agg(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias("lost"))
+                sums = sums.crossJoin(F.broadcast(lost))  # one row is broadcast
+            new = sums.withColumn(f"s{k + 1}", (1 - damping) / n + damping * (F.col("given") + (F.col("lost") / n if sinks else F.lit(0.0)))).select("id", *kept, f"s{k + 1}")
         new = written(new)
         last = rounds
         if fixed is None:
