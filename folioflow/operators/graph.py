@@ -9,6 +9,8 @@ from folioflow.operators.shared import written
 
 #: Rounds of PageRank between two written tables.
 ROUNDS = 4
+#: Edges of a component search for each file of its rounds.
+EDGES_A_TASK = 200_000
 
 
 def tag_network(docs: DataFrame) -> DataFrame:
@@ -119,12 +121,13 @@ def components(pairs: DataFrame) -> DataFrame:
     Smallest neighbour labels with pointer jumping; every round is written to the shared folder.
     """
     both = written(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(pairs.select("id2", "id1")).where("a <> b").distinct())
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).withColumnRenamed("a", "v"))
+    tasks = max(1, -(-both.count() // EDGES_A_TASK))  # small graphs are not written in many tiny files, round after round
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).withColumnRenamed("a", "v").coalesce(tasks))
     while True:
         seen = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("p").alias("q"))
-        hooked = written(labels.join(seen, F.col("v") == F.col("a"), "left").select("v", F.least("p", "q").alias("p"), F.col("p").alias("old")))
+        hooked = written(labels.join(seen, F.col("v") == F.col("a"), "left").select("v", F.least("p", "q").alias("p"), F.col("p").alias("old")).coalesce(tasks))
         up = hooked.select(F.col("v").alias("w"), F.col("p").alias("up"))
-        jumped = written(hooked.join(up, F.col("p") == F.col("w")).select("v", F.col("up").alias("p"), "old"))
+        jumped = written(hooked.join(up, F.col("p") == F.col("w")).select("v", F.col("up").alias("p"), "old").coalesce(tasks))
         labels = jumped.select("v", "p")
         if not jumped.where("p <> old").count():
             return labels.select(F.col("v").alias("id"), F.col("p").alias("component"))
