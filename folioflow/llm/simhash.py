@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import set_links
 from folioflow.llm.common import saved
 from folioflow.operators.graph import components
 
@@ -169,10 +170,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but one of each component: the one of the smallest id (null last), then the first in the input."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    d = saved(packed.select("doc", F.col("doc.doc_id").alias("doc_id"), fingerprint_column(F.col("doc.text")).alias("fp"), F.monotonically_increasing_id().alias("row")))
-    roots = classes(d.select("doc_id", "fp")).select(F.col("fp").alias("v"), "root")
-    stays = d.select("doc_id", "fp", "row").join(roots, F.col("fp") == F.col("v"), "left").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
+    """The rows of ``docs`` without all but one of each group of near-duplicates: the one of the smallest id (null last), then the first in the input.
+
+    Near-duplicates are not fingerprints' links but those of ``set_links``: a 5-word Jaccard similarity of 4/5 or more.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
+    d = saved(packed.select("doc", set_links.keyed(packed)("text").alias("x"), F.monotonically_increasing_id().alias("row")).select("doc", "row", "x.*"))
+    ids = d.select(F.col("doc.doc_id").alias("doc_id"), "fp", "row")
+    sets = saved(d.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("n", "m", "sketch", "keys"), "row").alias("x"), F.min("row").alias("row")).select("fp", "row", "x.*"))
+    roots = set_links.roots(sets, d.select("row", F.col("doc.text").alias("text")))
+    stays = ids.join(roots, F.col("fp") == F.col("v"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
     # the texts are always dealt by row: one plan at every size
     return d.join(saved(stays.select("x.row")).hint("shuffle_merge"), "row", "left_semi").select("doc.*")
