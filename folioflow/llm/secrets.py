@@ -4,10 +4,10 @@ Candidates are the runs of 16 or more token characters with a digit and a letter
 patterns. Each is cut out with its context as ``WIDTH`` characters; a network of one convolution, pooling and a
 logistic output in numpy scores all of them. Base matches always stay; a candidate elsewhere is reported as kind
 ``net`` if its calibrated score reaches the threshold, the largest at which held-out labelled findings keep the asked
-recall (and never under ``LEAST``).
+recall.
 
 The network is trained when the operator starts, on labelled findings: generated ones by fixed rules, and a sample of at most
-``SAMPLE`` candidates of the table, labelled by the base patterns.
+``SAMPLE`` base matches of the table; its other candidates may be secrets and are not learned from.
 
 Defined results: a null text is empty and has no findings; long texts are scanned whole and candidates of any length
 are judged by their first characters and context; overlapping findings of different kinds all stay, those of the
@@ -142,7 +142,7 @@ class Network:
             a, b = a - 0.5 * float((d * z).mean()) / scale, b - 0.5 * float(d.mean())
         self.slope, self.shift = a / scale, b
         s = np.sort(self.scores(x[held])[yh > 0.5])
-        self.threshold = max(LEAST, float(s[int((1 - RECALL) * len(s))])) if len(s) else LEAST
+        self.threshold = float(s[int((1 - RECALL) * len(s))]) if len(s) else LEAST
         return self
 
 
@@ -173,7 +173,7 @@ def generated_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, int, int
 
 
 def sample_findings(docs: DataFrame, text: str = "text", limit: int = SAMPLE) -> list[tuple[str, int, int, int]]:
-    """At most ``limit`` candidates of the table with their context, those of smallest hash, labelled by the base patterns."""
+    """At most ``limit`` base matches of the table with their context, those of smallest hash; what no base pattern matches may be a secret and has no label."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,8 +181,8 @@ def sample_findings(docs: DataFrame, text: str = "text", limit: int = SAMPLE) ->
             for t in b["text"]:
                 if t:
                     base = base_spans(t)
-                    for a, e, y in [*((x[0], x[2], 1) for x in base), *((x[0], x[1], 0) for x in candidates(t, base))]:
-                        rows.append((t[max(0, a - BEFORE) : a], t[a:e][: 4 * INSIDE], t[e : e + AFTER], y))
+                    for a, _, e in base:
+                        rows.append((t[max(0, a - BEFORE) : a], t[a:e][: 4 * INSIDE], t[e : e + AFTER], 1))
             yield pd.DataFrame(rows, columns=["before", "body", "after", "label"])
 
     found = docs.select(F.col(text).alias("text")).mapInPandas(cut, "before string, body string, after string, label int")
