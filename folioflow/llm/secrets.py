@@ -10,13 +10,14 @@ The network is trained when the operator starts, on labelled findings: generated
 ``SAMPLE`` base matches of the table; its other candidates may be secrets and are not learned from.
 
 Defined results: a null text is empty and has no findings; long texts are scanned whole and candidates of any length
-are judged by their first characters and context; overlapping findings of different kinds all stay, those of the
+are judged by the best of their windows; overlapping findings of different kinds all stay, those of the
 network only where no base match overlaps; repeated rows get the same result; an empty table gives an empty result;
 other columns are passed on by ``with_findings``, and one named ``findings`` is replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import string
@@ -41,6 +42,7 @@ _RUN = bytes(97 if chr(b) in string.ascii_letters + string.digits + "+/_=-" else
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+STEP, BATCH = 4, 4096
 SAMPLE, RECALL, LEAST = 1000, 0.97, 0.5
 
 
@@ -59,11 +61,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of candidates that no base match overlaps."""
+    """Spans of candidates, and of what base matches leave of them."""
     if b"a" * 16 not in text.encode().translate(_RUN):
         return []
-    found = [m.span() for m in CANDIDATE.finditer(text) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])]
-    return [(a, b) for a, b in found if all(b <= x or a >= y for x, _, y in base)]
+    out, spans, i = [], sorted((x, y) for x, _, y in base), 0
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        while i < len(spans) and spans[i][1] <= a:
+            i += 1
+        k = i
+        while k < len(spans) and spans[k][0] < b:
+            out.append((a, spans[k][0]))
+            a, k = max(a, spans[k][1]), k + 1
+        out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= 16 and re.search(r"[0-9]", text[a:b]) and re.search(r"[A-Za-z]", text[a:b])]
 
 
 def _codes() -> dict[str, int]:
@@ -82,6 +93,14 @@ def window(text: str, a: int, b: int) -> np.ndarray:
     return np.array([CODES.get(c, 0 if c == "\0" else 3 if c.isalpha() else 1) for c in x], np.int64)
 
 
+def windows(text: str, a: int, b: int) -> Iterator[np.ndarray]:
+    """The candidate's window, and those of its parts at every ``STEP`` characters if it is longer than one."""
+    yield window(text, a, b)
+    if b - a > INSIDE:
+        for x in [*range(a + STEP, b - 16, STEP), b - INSIDE]:
+            yield window(text, x, min(b, x + INSIDE))
+
+
 class Network:
     """Embedding (8) - convolution (width 5, 24 filters) - maximum and mean over the window - logistic output."""
 
@@ -167,6 +186,8 @@ def generated_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, int, int
         label = k % 2
         body = r.choice(secrets if label else others)()
         before = " ".join(word() for _ in range(6)) + r.choice(" \n") + r.choice(lead if label else plain)
+        if r.random() < 0.2:  # parts of longer candidates, of both labels
+            before += "/" + "/".join(word() for _ in range(r.randint(3, 6))) + "/"
         text = before + body + r.choice((" ", "\n", '" ', ", ", ". ")) + " ".join(word() for _ in range(4))
         out.append((text, len(before), len(before) + len(body), label))
     return out
@@ -199,12 +220,14 @@ def scan(texts: list[str | None], net: Network) -> list[list[tuple[int, int, int
     """Findings of each text: (start, kind, end), in order."""
     found = [base_spans(t) if t else [] for t in texts]
     asked = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, found[i])]
-    if asked:
-        scores = net.scores(np.stack([window(texts[i], a, b) for i, a, b in asked]))
-        for (i, a, b), s in zip(asked, scores, strict=True):
-            if s >= net.threshold:
-                found[i] = sorted([*found[i], (a, 3, b)])
-    return found
+    best = np.zeros(len(asked))
+    every = ((k, w) for k, (i, a, b) in enumerate(asked) for w in windows(texts[i], a, b))
+    while part := list(itertools.islice(every, BATCH)):
+        np.maximum.at(best, [k for k, _ in part], net.scores(np.stack([w for _, w in part])))
+    for (i, a, b), s in zip(asked, best, strict=True):
+        if s >= net.threshold:
+            found[i].append((a, 3, b))
+    return [sorted(f) for f in found]
 
 
 def with_findings(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:

@@ -15,3 +15,15 @@ def test_many_unmatched_secrets_are_found_and_masked(spark):
     assert sum("net:" in s for s in found.values()) >= 0.9 * len(keys)
     masked = {x["doc_id"]: x["text"] for x in secrets.redacted(d, secrets.network_for(d)).collect()}
     assert sum(v not in masked[k] for k, v in keys.items()) >= 0.9 * len(keys)
+
+
+def test_candidates_are_read_whole():
+    net = secrets.train(secrets.generated_findings())
+    r = random.Random(23)
+    key = lambda: "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(36))
+    path = "/var/lib/some/long/directory/of/the/build/server/with/old/artifacts/"
+    hexes = "/srv/" + "0123456789abcdef" * 2 + "/"
+    for lead in (path, hexes):
+        texts = [f"copied from {lead}{key()} to the archive" for _ in range(100)]
+        found = secrets.scan(texts, net)
+        assert sum(any(k == 3 and b == t.index(" to the") for _, k, b in f) for t, f in zip(texts, found, strict=True)) >= 90, lead
