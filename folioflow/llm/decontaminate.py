@@ -165,6 +165,14 @@ def contaminated():
     return (_hit_words() > 0) & (20 * _hit_words() >= F.col(HIT)["n_words"])
 
 
+def holds_window(window: int = WINDOW):
+    """Whether a whole window of ``window`` words of the benchmark stands in the text, however long the rest is; or ``contaminated``."""
+    spans = F.col(HIT)["spans"]
+    places = F.sequence(F.lit(1), F.size(spans) - 1, F.lit(2))  # ends; each start stands before its end
+    long = F.when(F.size(spans) > 0, F.exists(places, lambda i: spans[i] - spans[i - 1] >= window)).otherwise(False)
+    return long | contaminated()
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     d = with_hits(docs.select("doc_id", "text"), benchmark)
