@@ -117,11 +117,11 @@ def test_secret_network_on_held_out_findings():
 
     from folioflow.llm import secrets
 
-    net = secrets.train(secrets.generated_findings())
+    net = secrets.network()
     found = secrets.generated_findings(800, seed=99)
-    s = net.scores(np.stack([secrets.window(t, a, b) for t, a, b, _ in found]))
+    s = np.array([net.scores(np.stack(list(secrets.windows(t, a, b, run)))).mean() for t, a, b, run, _ in found])
     y = np.array([label for *_, label in found])
-    assert (s[y == 1] >= net.threshold).mean() >= 0.9
+    assert (s[y == 1] >= net.threshold).mean() >= 0.95
     assert (s[y == 0] >= net.threshold).mean() <= 0.05
 
 

@@ -83,7 +83,7 @@ def test_decontamination_in_blocks(docs, benchmark, monkeypatch):
 def test_secrets(docs, nothing, spark):
     assert secrets.digest(docs).count() == len(ROWS)
     assert secrets.digest(nothing).count() == 0
-    net = secrets.network_for(docs)
+    net = secrets.network()
     d = spark.createDataFrame([(1, 'a token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" end', 3), (2, None, None)], "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: r for r in secrets.redacted(d, net).collect()}
     assert out[1]["text"] == 'a [SECRET]" end' and out[1]["n_chars"] == len(out[1]["text"]) and out[2]["text"] is None
