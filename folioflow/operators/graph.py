@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,13 +118,37 @@ def neighbour_recommendations(edges: DataFrame, scores: DataFrame, node: str, n:
     return near.join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of one task's edges; a root is the smallest id of its tree."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    ids = list(up)
+    yield pd.DataFrame({"id": ids, "component": [root(x) for x in ids]})
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) of every id in ``pairs`` (id1, id2); components are named by their smallest id.
 
-    Smallest neighbour labels with pointer jumping; every round is written to the shared folder.
+    Smallest neighbour labels with pointer jumping; every round is written to the shared folder. A graph of up to
+    ``EDGES_A_TASK`` edges is one task's, by union-find.
     """
     both = written(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(pairs.select("id2", "id1")).where("a <> b").distinct())
     tasks = max(1, -(-both.count() // EDGES_A_TASK))  # small graphs are not written in many tiny files, round after round
+    if tasks == 1:
+        kind = both.schema["a"].dataType.simpleString()
+        return both.where("a < b").coalesce(1).mapInPandas(_union_find, f"id {kind}, component {kind}")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).withColumnRenamed("a", "v").coalesce(tasks))
     while True:
         seen = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("p").alias("q"))
