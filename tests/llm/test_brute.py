@@ -180,35 +180,82 @@ def test_language_id_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_ppm_code_lengths():
-    """The frozen arrays give the code lengths of a plain walk down the context tree."""
+def ppm_bits(corpus, word):
+    """Code length of a word and the blank after it by a plain walk down the context tree of a corpus of words."""
     import math
 
-    from folioflow.llm.language_id import Model, symbols
+    count = defaultdict(Counter)
+    for w in corpus:
+        x = b" " + w + b" "
+        for i in range(1, len(x)):
+            for k in range(6):
+                count[x[max(0, i - k) : i].rjust(k, b"\0")][x[i]] += 1
+
+    def bits(context, s):
+        c = count[context]
+        below = lambda: bits(context[1:], s) if context else 8.0
+        if not c:
+            return below()
+        total, kinds = sum(c.values()), len(c)
+        return -math.log2(c[s] / (total + kinds)) if c[s] else -math.log2(kinds / (total + kinds)) + below()
+
+    x = b" " + word + b" "
+    return sum(bits(x[max(0, i - 5) : i].rjust(5, b"\0"), x[i]) for i in range(1, len(x)))
+
+
+def test_ppm_code_lengths():
+    """The frozen tables give the code lengths of a plain walk down the context tree."""
+    from folioflow.llm.language_id import Model, split
 
-    texts = {"x": ["abracadabra abracadabra", "été à la plage"], "y": ["hello world hello"]}
+    texts = {"x": ["abracadabra abracadabra", "été à la plage"], "y": ["hello world hello"], "z": ["привет мир"]}
     model = Model(texts)
-    for lang, corpus in texts.items():
-        count = defaultdict(Counter)
-        for t in corpus:
-            x = [0, 0, 0, *symbols(t).tolist()]
-            for i in range(3, len(x)):
-                for k in range(4):
-                    count[tuple(x[i - k : i])][x[i]] += 1
-
-        def bits(context, s, count=count):
-            c = count[context]
-            if not c:
-                return bits(context[1:], s) if context else 6.0
-            total, kinds = sum(c.values()), len(c)
-            if c[s]:
-                return -math.log2(c[s] / (total + kinds))
-            return -math.log2(kinds / (total + kinds)) + (bits(context[1:], s) if context else 6.0)
-
-        for t in ("abra hello été zz", "q"):
-            x = [0, 0, 0, *symbols(t).tolist()]
-            want = sum(bits(tuple(x[i - 3 : i]), x[i]) for i in range(3, len(x)))
-            assert abs(model.lengths([t])[0][model.languages.index(lang)] - want) < 1e-3
+    for t in ("abra hello été zz мир", "q", "x" * 200 + " abra", ""):
+        got = model.lengths([t, t])
+        assert got.shape == (2, 3) and (got[0] == got[1]).all()
+        for lang, corpus in texts.items():
+            want = sum(ppm_bits([w for c in corpus for w in split(c)], w) for w in split(t))
+            assert abs(got[0][model.languages.index(lang)] - want) < 1e-3
+
+
+def test_language_id_query_by_brute_force(spark):
+    """The whole query on a small fixture: sample, predictions, und."""
+    import zlib
+
+    from folioflow.llm import language_id
+
+    base = {"en": "the house by the water and the old tree", "de": "das haus am wasser und der alte baum", "ru": "дом у воды и старое дерево", "uk": "дім біля води і старе дерево"}
+    rows = [(k, f"{base[lang]} {k % 7}", lang) for k, lang in enumerate(sorted(base) * 12)] + [(900, "1234 --", "en"), (901, None, "en"), (902, "старе дерево", None), (None, "the old house", None)]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    corpus = defaultdict(set)
+    for i, t, lang in rows:
+        if t and lang and not held(i):
+            corpus[lang].add(t)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for r in language_id.digest(d).collect():
+        t = next(t for i, t, _ in rows if i == r["doc_id"])
+        assert r["held_out"] == held(r["doc_id"])
+        if not t or not any(map(str.isalpha, t)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        want = {lang: sum(ppm_bits([w for c in c_ for w in language_id.split(c)], w) for w in language_id.split(t)) for lang, c_ in corpus.items()}
+        assert r["lang_pred"] == min(sorted(want), key=want.get) and 1 / len(base) - 1e-9 <= r["score"] <= 1
+
+
+def test_many_languages_and_long_texts(spark):
+    """All of 71 languages are learned, also one of long texts only; two of one script are told apart."""
+    import random
+
+    from folioflow.llm import language_id
+
+    r = random.Random(9)
+    scripts = [[chr(x) for x in range(a, a + 20)] for a in (0x61, 0x430, 0x3B1, 0x5D0, 0x4E00, 0xAC00)]
+    words = {f"l{k:02}": ["".join(r.choice(scripts[k % 6]) for _ in range(r.randrange(2, 6))) for _ in range(60)] for k in range(71)}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(100 * k + i, text(lang, 30_000 if k == 3 else 40), lang) for k, lang in enumerate(words) for i in range(9)]
+    rows += [(10_000 + k, text(lang, 12), None) for k, lang in enumerate(words)]
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[10_000 + k][0] for k in range(71)} == set(words)
+    assert all(got[10_000 + k][0] == lang for k, lang in enumerate(words))
 
 
 def test_substring_dedup_in_batches(spark):
