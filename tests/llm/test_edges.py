@@ -144,4 +144,4 @@ def test_pipeline_stages(spark, docs, nothing, benchmark, tmp_path):
             if name != "source mixing":
                 assert d.columns == docs.columns, name
         ids = sorted(r["doc_id"] for r in d.collect() if r["doc_id"] is not None)
-        assert ids == ([1, 6] if start is docs else [])
+        assert ids == ([1] if start is docs else [])  # 6 is a near copy of 1, 7 an item of the benchmark
