@@ -2,7 +2,10 @@
 
 import random
 
-from folioflow.llm import simhash
+import numpy as np
+import pytest
+
+from folioflow.llm import set_links, simhash
 
 
 def sets(text):
@@ -10,7 +13,20 @@ def sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def test_every_pair_of_similarity_four_fifths_links(spark):
+def test_sketches_never_exceed_the_difference():
+    r = random.Random(4)
+    for _ in range(300):
+        a = {r.randrange(1 << 62) for _ in range(r.randrange(1, 900))}
+        b = {x for x in a if r.random() < 0.9} | {r.randrange(1 << 62) for _ in range(r.randrange(0, 200))}
+        x, y = (set_links.sketch(np.array(sorted(s), np.int64)) for s in (a, b))
+        assert set_links.differ(x, y) <= len(a ^ b)
+
+
+@pytest.mark.parametrize("chunk", [1 << 14, 4])
+def test_every_pair_of_similarity_four_fifths_links(spark, chunk, monkeypatch):
+    """Also where large keys are dealt in parts."""
+    monkeypatch.setattr(set_links, "CHUNK", chunk)
+    monkeypatch.setattr(set_links, "ONE_IN", 1)
     r = random.Random(3)
     word = lambda: "w" + str(r.randrange(5000))
     passage = [word() for _ in range(50)]
