@@ -23,6 +23,13 @@ def user_distinct(accesses: DataFrame) -> DataFrame:
     return accesses.groupBy("user_id").agg(d.alias("distinct_documents"), n.alias("total_accesses"), (1 - d / n).alias("revisit_rate"))
 
 
+def user_totals(counts: DataFrame) -> DataFrame:
+    """The same per user, of running counts (user_id, document_id, n, batch) as a stream gives them: the last of each pair counts."""
+    last = counts.groupBy("user_id", "document_id").agg(F.max_by("n", "batch").alias("n"))
+    d, n = F.count("document_id"), F.sum("n")
+    return last.groupBy("user_id").agg(d.alias("distinct_documents"), n.alias("total_accesses"), (1 - d / n).alias("revisit_rate"))
+
+
 def global_distinct(accesses: DataFrame) -> DataFrame:
     """One row: users, distinct documents, accesses, mean distinct documents of a user."""
     pairs = accesses.groupBy("user_id", "document_id").agg(F.count("*").alias("n"))

@@ -72,9 +72,9 @@ def sliding_estimate(bits: DataFrame, window: int, key: str = "key", order: str
 
 def comparison(bits: DataFrame, window: int) -> DataFrame:
     """Per key, at its last bit: exact and estimated count, difference, error in percent (0 if there are no ones), buckets."""
-    exact = sliding_exact(bits, window).select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), "exact")
-    both = exact.join(sliding_estimate(bits, window), ["key", "seq"])
-    last = both.groupBy("key").agg(F.max_by(F.struct("exact", "estimate", "n_buckets"), "seq").alias("x")).select("key", "x.*")
+    exact = sliding_exact(bits, window).groupBy(F.col("key").cast("string").alias("key")).agg(F.max_by("exact", "seq").alias("exact"))
+    estimate = sliding_estimate(bits, window).groupBy("key").agg(F.max_by(F.struct("estimate", "n_buckets"), "seq").alias("x")).select("key", "x.*")
+    last = exact.join(estimate, "key")
     gap = F.abs(F.col("exact") - F.col("estimate"))
     return last.select("key", "exact", "estimate", gap.alias("difference"), F.when(F.col("exact") > 0, gap / F.col("exact") * 100).otherwise(0.0).alias("error_percentage"), "n_buckets")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import normalized_tokens
+from folioflow.operators.shared import written
 
 
 def tag_tokens(tags: Column) -> Column:
@@ -44,6 +45,39 @@ def search(docs: DataFrame, query: str, n: int = 10) -> DataFrame:
     return d.withColumn("score", score).withColumn("_first", first).orderBy(F.desc("score"), "_first", "ord").limit(n).drop("_t", "_hits", "_first")
 
 
+class SearchIndex:
+    """Postings on disk, in folders by a hash of the word and sorted by word within: a search reads those of its words only."""
+
+    BUCKETS = 64
+
+    def __init__(self, docs: DataFrame):
+        t = docs.select("_id", "ord", F.explode(F.array(F.struct(all_tokens(docs).alias("all"), normalized_tokens(F.col("title")).alias("title"), tag_tokens(F.col("tags")).alias("tags")))).alias("t"))
+        p = t.select("_id", "ord", "t", F.explode("t.all").alias("word"))
+        p = p.select("word", "_id", "ord", F.array_contains("t.title", F.col("word")).alias("in_title"), F.array_contains("t.tags", F.col("word")).alias("in_tags"))
+        p = p.withColumn("bucket", self._bucket(F.col("word")))
+        self.postings = written(p.repartition("bucket", F.pmod(F.xxhash64("_id"), F.lit(16))).sortWithinPartitions("bucket", "word"), by="bucket")
+
+    def _bucket(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.BUCKETS)).cast("int")
+
+    def lookup(self, words: list[str]) -> DataFrame:
+        """Postings of some words, by folder and then by word."""
+        spark = self.postings.sparkSession
+        buckets = {r[0] for r in spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select(self._bucket(F.col("w"))).collect()}
+        return self.postings.where(F.col("bucket").isin(sorted(buckets)) & F.col("word").isin(words))
+
+    def search(self, query: str, n: int = 10) -> DataFrame:
+        """(_id, score) of the n best documents, scored and ordered as by ``search``."""
+        words = query_words(self.postings.sparkSession, query)
+        if not words:
+            return self.postings.limit(0).select("_id", F.lit(0.0).alias("score"))
+        weights = F.create_map(*[F.lit(x) for w in dict.fromkeys(words) for x in (w, words.count(w))])
+        places = F.create_map(*[F.lit(x) for w in dict.fromkeys(words) for x in (w, words.index(w))])
+        each = (1.5 if len(words) > 1 else 1.0) + 3.0 * F.col("in_title").cast("int") + 2.0 * F.col("in_tags").cast("int")
+        found = self.lookup(list(dict.fromkeys(words))).groupBy("_id", "ord").agg(F.sum(each * weights[F.col("word")]).alias("score"), F.min(places[F.col("word")]).alias("first"))
+        return found.orderBy(F.desc("score"), "first", "ord").limit(n).select("_id", "score")
+
+
 def search_by_tag(docs: DataFrame, tag: str) -> DataFrame:
     """Documents whose index words (of title, content or tags) include the lower-cased tag."""
     return docs.where(F.array_contains(all_tokens(docs), tag.lower()))

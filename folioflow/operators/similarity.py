@@ -19,8 +19,8 @@ from folioflow.functions.text import char_shingles, jaccard, positioned_shingles
 from folioflow.operators.graph import components
 from folioflow.operators.shared import written
 
-#: Numbers of shingles that a worker remembers.
-REMEMBERED = 1 << 20
+#: Bytes of the numbers of shingles that a worker remembers.
+REMEMBERED = 64 << 20
 
 
 def full_text() -> Column:
@@ -82,28 +82,35 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 
 class Signer:
-    """MinHash signatures of shingle sets in numpy; the MD5 numbers of shingles are remembered."""
+    """MinHash signatures of shingle sets in numpy; the numbers of a shingle under all functions are remembered, as 32 bits each."""
 
     def __init__(self, num_hashes: int, seed: int = 42):
         ab = np.array(minhash_coefficients(num_hashes, seed), np.uint64)
         self.a, self.b, self.m, self.known = ab[:, :1], ab[:, 1:], np.uint64(MINHASH_MODULUS), {}
+        self.rows = np.zeros((0, num_hashes), np.uint32)
+        self.most = max(4096, REMEMBERED // (4 * num_hashes))
 
-    def number(self, shingle: str) -> int:
-        x = self.known.get(shingle)
-        if x is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            x = self.known[shingle] = int(hashlib.md5(shingle.encode()).hexdigest(), 16) % MINHASH_MODULUS
-        return x
+    def _remember(self, shingles: list[str]) -> None:
+        x = np.array([int(hashlib.md5(s.encode()).hexdigest(), 16) % MINHASH_MODULUS for s in shingles], np.uint64)[None, :]
+        n = len(self.known)
+        if n + len(shingles) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(len(shingles), len(self.rows), 4096), len(self.a)), np.uint32)])
+        self.rows[n : n + len(shingles)] = (((self.a * x) % self.m + self.b) % self.m).astype(np.uint32).T
+        self.known.update(zip(shingles, range(n, n + len(shingles)), strict=True))
 
     def signature(self, shingles) -> np.ndarray:
         if not len(shingles):
             return np.full(len(self.a), MINHASH_EMPTY, np.int64)
         least = None
         for i in range(0, len(shingles), 4096):
-            x = np.array([self.number(s) for s in shingles[i : i + 4096]], np.uint64)[None, :]
-            part = ((self.a * x) % self.m + self.b) % self.m
-            least = part.min(1) if least is None else np.minimum(least, part.min(1))
+            part = list(shingles[i : i + 4096])
+            new = list(dict.fromkeys(s for s in part if s not in self.known))
+            if len(self.known) + len(new) > self.most:
+                self.known, new = {}, list(dict.fromkeys(part))
+            if new:
+                self._remember(new)
+            own = self.rows[[self.known[s] for s in part]].min(0)
+            least = own if least is None else np.minimum(least, own)
         return least.astype(np.int64)
 
 
@@ -123,6 +130,14 @@ def signature_similarity(a: Column, b: Column, num_hashes: int) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(num_hashes))
 
 
+def minhash_pair_similarity(signed: DataFrame, id1: str, id2: str, num_hashes: int = 100) -> DataFrame:
+    """One row: the estimated similarity of two documents by id, 0 if one is unknown."""
+    own = lambda x: F.max(F.when(F.col("id") == x, F.struct("signature")))
+    both = signed.where(F.col("id").isin(id1, id2)).agg(own(id1).alias("a"), own(id2).alias("b"))
+    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return both.select(F.coalesce(F.when(there, signature_similarity(F.col("a.signature"), F.col("b.signature"), num_hashes)), F.lit(0.0)).alias("similarity"))
+
+
 def minhash_similar_to(signed: DataFrame, doc_id: str, num_hashes: int = 100, threshold: float = 0.5, top: int = 10) -> DataFrame:
     one = signed.where(F.col("id") == doc_id).select(F.col("signature").alias("own")).limit(1)
     s = signed.where(F.col("id") != doc_id).crossJoin(F.broadcast(one)).select("id", signature_similarity(F.col("own"), F.col("signature"), num_hashes).alias("similarity"))  # one row

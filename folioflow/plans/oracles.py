@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from folioflow.functions.hashing import MINHASH_EMPTY, MINHASH_MODULUS, minhash_coefficients
 from folioflow.functions.text import STOP_WORDS
-from folioflow.operators.sketches import optimal_parameters
 from folioflow.plans.queries import BANDS, HASHES
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -130,6 +129,7 @@ al AS (SELECT list_sort(list(s)) AS a FROM ss), t0 AS (SELECT w, a[{_draw('len(a
 
 ORACLE = {
     "search_topk": f"WITH {DOCS}, h AS (SELECT _id, ord, len(list_filter({_Q}, lambda q: list_contains(tok, q) OR list_contains({_tokens('title')}, q))) AS hits, len(list_filter({_Q}, lambda q: list_contains({_tokens('title')}, q))) AS th, len(list_filter({_Q}, lambda q: list_contains(list_slice(tok, 1, 3), q))) AS gh, list_position(list_transform({_Q}, lambda q: list_contains(tok, q) OR list_contains({_tokens('title')}, q)), true) AS fp FROM docs) SELECT _id, (hits + 3.0 * th + 2.0 * gh + {0.5 if len(_SEARCHED) > 1 else 0} * hits)::DOUBLE AS score FROM h WHERE hits > 0 ORDER BY score DESC, fp, ord LIMIT 10",
+    "search_indexed": f"WITH {DOCS}, h AS (SELECT _id, ord, len(list_filter({_Q}, lambda q: list_contains(tok, q) OR list_contains({_tokens('title')}, q))) AS hits, len(list_filter({_Q}, lambda q: list_contains({_tokens('title')}, q))) AS th, len(list_filter({_Q}, lambda q: list_contains(list_slice(tok, 1, 3), q))) AS gh, list_position(list_transform({_Q}, lambda q: list_contains(tok, q) OR list_contains({_tokens('title')}, q)), true) AS fp FROM docs) SELECT _id, (hits + 3.0 * th + 2.0 * gh + {0.5 if len(_SEARCHED) > 1 else 0} * hits)::DOUBLE AS score FROM h WHERE hits > 0 ORDER BY score DESC, fp, ord LIMIT 10",
     "search_by_tag": f"WITH {DOCS} SELECT _id FROM docs WHERE list_contains(tok, 'that')",
     "filter_by_tag": f"WITH {DOCS} SELECT DISTINCT _id FROM tags WHERE tag = 'that'",
     "vocabulary_stats": f"WITH {DOCS} SELECT (SELECT count(*) FROM docs) AS num_documents, (SELECT count(DISTINCT w) FROM (SELECT unnest(list_concat(tok, {_tokens('title')})) AS w FROM docs)) AS vocabulary_size",
@@ -152,7 +152,14 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "bloom_fill_stats": f"WITH {EVENTS}, b AS (SELECT DISTINCT {_bloom('document_id', 10_000, 'i')} AS pos FROM (SELECT DISTINCT document_id FROM acc), range(3) AS r(i)), n AS (SELECT count(document_id) AS n FROM acc) SELECT 10000::BIGINT AS size, 3::BIGINT AS num_hashes, n AS num_items, (SELECT count(*) FROM b) AS bits_set, round((SELECT count(*) FROM b) / 10000, 6) AS fill_ratio, round(pow(1 - exp(-3.0 * n / 10000), 3), 6) AS false_positive_rate FROM n",
     "bloom_membership": f"WITH {DOCS}, {EVENTS}, b AS (SELECT DISTINCT {_bloom('document_id', 1000, 'i')} AS pos FROM (SELECT DISTINCT document_id FROM acc), range(3) AS r(i)) SELECT _id AS item, count(*) = count(b.pos) AS contained FROM (SELECT _id, {_bloom('_id', 1000, 'i')} AS pos FROM docs, range(3) AS r(i)) p LEFT JOIN b ON b.pos = p.pos GROUP BY _id",
     "exact_membership": f"WITH {DOCS}, {EVENTS} SELECT _id FROM docs WHERE _id IN (SELECT document_id FROM acc)",
-    "bloom_optimal_params": " UNION ALL ".join(f"SELECT {n}::BIGINT AS n, {p}::DOUBLE AS p, {m}::BIGINT AS m, {k}::BIGINT AS k" for n, p in ((1000, 0.01), (100_000, 0.001)) for m, k in [optimal_parameters(n, p)]),
+    "bloom_optimal_params": "SELECT n, p, m, greatest(1, CAST(trunc(m / n * ln(2)) AS BIGINT)) AS k FROM (SELECT n, p, CAST(trunc(-n * ln(p) / pow(ln(2), 2)) AS BIGINT) AS m FROM (VALUES (1000::BIGINT, 0.01::DOUBLE), (100000::BIGINT, 0.001::DOUBLE)) AS v(n, p))",
+    "most_frequent": f"WITH {EVENTS} SELECT document_id AS item, count(*) AS f FROM acc GROUP BY 1 ORDER BY f DESC, item LIMIT 10",
+    "stream_distinct": "SELECT DISTINCT user_id FROM events",
+    "stream_user_tracker": f"WITH {EVENTS} SELECT user_id, count(DISTINCT document_id) AS distinct_documents, count(*) AS total_accesses, round(1 - count(DISTINCT document_id) / count(*), 6) AS revisit_rate FROM acc GROUP BY 1",
+    "stream_sliding": "SELECT s AS start_s, count(*) AS n FROM (SELECT (CAST(floor(epoch(ts) / 900) AS BIGINT) - x) * 900 AS s FROM events, (VALUES (0), (1), (2), (3)) AS v(x)) GROUP BY 1 HAVING s + 3600 <= (SELECT max(epoch(ts)) - 600 FROM events)",
+    "stream_sessions": "WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, t, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start_us, count(*) AS n FROM s GROUP BY user_id, k HAVING max(t) + 1800000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)",
+    "jaccard_distance_pair": f"WITH {SETS} SELECT round(1 - len(list_intersect(a.sh, b.sh)) / (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))), 6) AS distance FROM sets a, sets b WHERE a.id = '1' AND b.id = '2'",
+    "minhash_pair": f"WITH {SIGNED} SELECT round(len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / {HASHES}.0, 6)::DOUBLE AS similarity FROM sg a, sg b WHERE a.id = '1' AND b.id = '2'",
     "reservoir_bottomk": f"WITH {EVENTS}, {_RES.format(n=100)} SELECT event_id, user_id, query, CAST(results_count AS BIGINT) AS results_count FROM sm",
     "search_sample_summary": f"WITH {EVENTS}, {_RES.format(n=200)} SELECT count(*) AS total_sampled, count(DISTINCT query) AS unique_queries, count(DISTINCT user_id) AS unique_users, round(avg(results_count), 6) AS avg_results, count(*) FILTER (results_count = 0) AS queries_with_no_results, {_TOPLIST.format(c='query')} AS most_common_queries, {_TOPLIST.format(c='user_id')} AS most_active_users FROM sm",
     "query_suggestions": f"WITH {EVENTS}, {_RES.format(n=200)} SELECT query, count(*) AS n FROM sm GROUP BY 1 ORDER BY n DESC, query LIMIT 10",

@@ -13,7 +13,7 @@ from folioflow.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEARCH, TAG = "the onthe there with that", "the"
-HASHES, BANDS = 20, 4
+HASHES, BANDS = 100, 20
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +30,11 @@ def search_topk(spark, sf):
     return search.search(views.documents(spark, sf), "there that tion onthe", 10).select("_id", "score")
 
 
+@query
+def search_indexed(spark, sf):
+    return search.SearchIndex(views.documents(spark, sf)).search("there that tion onthe", 10)
+
+
 @query
 def search_by_tag(spark, sf):
     return search.search_by_tag(views.documents(spark, sf), "That").select("_id")
@@ -185,6 +190,11 @@ def popularity_report(spark, sf):
     return access.popularity(views.accesses(spark, sf), 10, "document_id")
 
 
+@query
+def most_frequent(spark, sf):
+    return access.most_frequent(views.accesses(spark, sf), 10, "document_id")
+
+
 @query
 def sliding_exact_count(spark, sf):
     return dgim.sliding_exact(views.bits(spark, sf), 50).select("key", "seq", "exact")
@@ -467,6 +477,16 @@ def jaccard_pair(spark, sf):
     return similarity.pair_similarity(_sets(spark, sf), "1", "2")
 
 
+@query
+def jaccard_distance_pair(spark, sf):
+    return similarity.pair_similarity(_sets(spark, sf), "1", "2").select((1 - F.col("similarity")).alias("distance"))
+
+
+@query
+def minhash_pair(spark, sf):
+    return similarity.minhash_pair_similarity(similarity.signatures(_sets(spark, sf), HASHES), "1", "2", HASHES)
+
+
 @query
 def minhash_signature(spark, sf):
     s = similarity.signatures(_sets(spark, sf), HASHES)
@@ -567,6 +587,35 @@ def stream_tumbling(spark, sf):
     return streams.run_available(streams.tumbling(streams.events_stream(spark, sf))).select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
 
 
+@query
+def stream_sliding(spark, sf):
+    from folioflow.streaming import streams
+
+    return streams.run_available(streams.sliding(streams.events_stream(spark, sf))).select(F.unix_seconds("start").alias("start_s"), "n")
+
+
+@query
+def stream_sessions(spark, sf):
+    from folioflow.streaming import streams
+
+    return streams.run_available(streams.sessions(streams.events_stream(spark, sf))).select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query
+def stream_distinct(spark, sf):
+    from folioflow.streaming import streams
+
+    return streams.run_available(streams.distinct_items(streams.events_stream(spark, sf), "user_id", late="3650 days")).select("user_id")
+
+
+@query
+def stream_user_tracker(spark, sf):
+    from folioflow.streaming import streams
+
+    e = streams.events_stream(spark, sf).select("user_id", F.from_json("props", "k int")["k"].cast("string").alias("document_id"))
+    return access.user_totals(streams.run_available(streams.user_documents(e), "update"))
+
+
 @query
 def stream_dgim(spark, sf):
     from folioflow.streaming import streams

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioflow.functions.hashing import bloom_positions
 from folioflow.operators.dgim import Buckets
@@ -50,6 +51,11 @@ def distinct_items(items: DataFrame, item: str, time: str = "ts", late: str = "1
     return items.withWatermark(time, late).dropDuplicatesWithinWatermark([item]).select(item)
 
 
+def user_documents(accesses: DataFrame) -> DataFrame:
+    """Running accesses of each user to each document (update mode); ``access.user_totals`` sums them up by user."""
+    return accesses.groupBy("user_id", "document_id").agg(F.count("*").alias("n"))
+
+
 def first_documents(docs: DataFrame) -> DataFrame:
     """Documents as they arrive, the first of each _id only: the ids are the state."""
     return docs.dropDuplicates(["_id"])
@@ -96,9 +102,11 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{root}/out")
+    spark.createDataFrame([], StructType([*stream.schema.fields, StructField("batch", IntegerType())])).write.parquet(f"{root}/out/batch-none")  # a stream without a batch has no rows
+
+    def write(batch: DataFrame, number: int) -> None:  # a batch that is run again overwrites what it has written
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch-{number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out/*")
