@@ -4,14 +4,17 @@ A window is 35 consecutive words of a text. Two equal windows hold the same 8-wo
 hash (the leftmost on ties), the windows' anchor, is the same gram at the same place in them. The index holds anchors
 in place of windows: about one for every 14 words; a window can only repeat if its anchor does.
 
-The index is a set of immutable runs, each a table sorted by fingerprint with a number of occurrences (up to 2). A
-batch of documents becomes a run of its own, merge-joined with every run to find the fingerprints that history and
-batch share; more than ``FAN_IN`` runs are compacted into one. Batches may come in any order and number: the result is
-that of all documents at once.
+The index lives in a folder and grows batch by batch: ``append`` writes a batch's anchors by document, and one immutable
+run of them by fingerprint, bucketed and sorted, with occurrences (up to 2) and the range of their stretches' hashes. The
+new run is merge-joined with every older one, bucket by bucket and without a shuffle of either, to find the fingerprints
+that history and batch share; more than ``FAN_IN`` runs are compacted into one by outer merge joins. ``save`` and
+``load`` carry the index from process to process. Batches may come in any order and number: the result is that of all
+documents at once.
 
 Verification looks at the occurrences of repeated anchors. Where the stretch of words that all windows of an anchor
 cover is equal to another's, those windows repeat. Where stretches of one anchor differ, their windows are compared
-one by one (of equal stretches one stands for all), by two independent 64-bit hashes over all words.
+one by one (of equal stretches one stands for all), by two 64-bit hashes over all words that share nothing. Documents
+of earlier batches are read again only for places that such an anchor needs, so a later batch can be judged alone.
 
 Defined results: a null or blank text has no words; a text of fewer than 35 words has no window; windows of one text
 and of repeated rows repeat like any other; long texts are processed whole; an empty table gives an empty result; rows
@@ -21,18 +24,20 @@ are told apart by id (null is an id) and a hash of the text; of other columns no
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import saved
+from folioflow.operators.shared import shared_folder, written
 
 WINDOW, GRAM = 35, 8
-FAN_IN, BATCHES = 4, 2
+FAN_IN, BATCHES = 2, 3
 #: Odd bases of the two polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -57,7 +62,8 @@ class Hashes:
             up = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]))
             self._powers[base] = (up(base), up(pow(base, -1, 1 << 64)))
         power, self.inverse = self._powers[base]
-        h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
+        seed = 0 if base == BASES[0] else base  # the second hash has word hashes of its own
+        h = np.fromiter((xxh3_64_intdigest(w, seed) for w in words) if seed else map(xxh3_64_intdigest, words), np.uint64, n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
 
     def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -103,34 +109,86 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
-class FingerprintIndex:
-    """Log-structured index of anchors: immutable runs (h, n), sorted by h, and the fingerprints found to repeat."""
+def anchored(docs: DataFrame) -> DataFrame:
+    """doc_id, th and the struct of arrays a of every row's anchors."""
+    return _keyed(docs).select("doc_id", "th", _anchors("text").alias("a"))
 
-    def __init__(self) -> None:
-        self.runs: list[DataFrame] = []
-        self.shared: list[DataFrame] = []
 
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Index one batch (doc_id, text); gives the batch's anchors: doc_id, th and a struct of arrays a."""
-        found = saved(_keyed(batch).select("doc_id", "th", _anchors("text").alias("a")))
-        counts = found.select(F.explode("a.h").alias("h")).groupBy("h").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
-        run = saved(counts.sortWithinPartitions("h"))
+class FingerprintIndex:
+    """Log-structured index of anchors: runs (h, n, lo, hi) as bucketed tables, the anchors of each batch by document, and the fingerprints found to repeat."""
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
+        self.spark = spark
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.found: list[str] = []
+        self.shared: list[str] = []
+
+    def _path(self, kind: str) -> str:
+        return f"{shared_folder(self.spark)}/index-{kind}-{uuid.uuid4().hex}"
+
+    def _run(self, path: str) -> DataFrame:
+        """A run as a table that knows its buckets; runs of other processes are registered first."""
+        name = "run_" + path.rsplit("-", 1)[-1]
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, n INT, lo BIGINT, hi BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _write_run(self, rows: DataFrame) -> str:
+        path = self._path("run")
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).option("compression", "zstd").saveAsTable("run_" + path.rsplit("-", 1)[-1], format="parquet")
+        return path
+
+    def _write(self, kind: str, rows: DataFrame) -> str:
+        path = self._path(kind)
+        rows.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def append(self, found: DataFrame) -> None:
+        """Index one batch: the rows of ``anchored``."""
+        self.found.append(self._write("found", found.select("doc_id", "th", "a")))
+        rows = self.spark.read.parquet(self.found[-1]).select(F.explode(F.arrays_zip("a.h", "a.u")).alias("x")).select("x.*")
+        counts = rows.groupBy("h").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"))
+        new = self._write_run(counts)
+        self.shared.append(self._write("shared", self._run(new).where("n > 1").select("h", "lo", "hi")))
         for old in self.runs:
-            self.shared.append(saved(run.join(old.select("h"), "h", "left_semi").select("h")))
-        self.shared.append(run.where("n > 1").select("h"))
-        self.runs.append(run)
+            both = self._run(new).alias("x").join(self._run(old).alias("y").hint("merge"), "h")
+            self.shared.append(self._write("shared", both.select("h", F.least("x.lo", "y.lo").alias("lo"), F.greatest("x.hi", "y.hi").alias("hi"))))
+        self.runs.append(new)
         if len(self.runs) > FAN_IN:
             self.compact()
-        return found
 
     def compact(self) -> None:
-        """All runs as one; what repeats is written down as one table."""
-        self.shared = [saved(self.repeated())]
-        self.runs = [saved(_union(self.runs).groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")).sortWithinPartitions("h"))]
+        """All runs as one, by outer merge joins; what repeats is written down as one table."""
+        self.shared = [self._write("shared", self.repeated())]
+        merged = self._run(self.runs[0])
+        for path in self.runs[1:]:
+            both = merged.alias("x").join(self._run(path).alias("y").hint("merge"), "h", "full_outer")
+            n = F.least(F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0)), F.lit(2)).cast("int")
+            merged = both.select("h", n.alias("n"), F.least("x.lo", "y.lo").alias("lo"), F.greatest("x.hi", "y.hi").alias("hi"))
+        self.runs = [self._write_run(merged)]
 
     def repeated(self) -> DataFrame:
-        """(h): fingerprints that occur twice or more in all that was appended."""
-        return _union(self.shared).distinct()
+        """(h, lo, hi): fingerprints that occur twice or more in all that was appended, and the range of their stretches."""
+        return _union([self.spark.read.parquet(p) for p in self.shared]).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def anchors(self, first: int = 0, end: int | None = None) -> DataFrame | None:
+        """The anchors by document of some batches."""
+        paths = self.found[first:end]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def save(self, path: str) -> None:
+        """Write down which tables the index has."""
+        rows = [(kind, k, p, self.buckets) for kind in ("runs", "found", "shared") for k, p in enumerate(getattr(self, kind))]
+        self.spark.createDataFrame(rows, "kind string, k int, path string, buckets int").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        rows = spark.read.schema("kind string, k int, path string, buckets int").json(path).orderBy("k").collect()
+        index = cls(spark, rows[0]["buckets"] if rows else None)
+        for r in rows:
+            getattr(index, r["kind"]).append(r["path"])
+        return index
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -144,17 +202,32 @@ def _pack(first: Column, n: Column) -> Column:
     return F.shiftleft(first.cast("long"), 8).bitwiseOR(n.cast("long"))
 
 
-def suspects(found: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """Per row (doc_id, th) with repeated anchors: stretches (packed) that repeat, that are to check, and that stand for their equals."""
-    rows = found.select("doc_id", "th", F.explode(F.arrays_zip("a.h", "a.u", "a.first", "a.n")).alias("x")).select("doc_id", "th", F.col("x.h").alias("h"), F.col("x.u").alias("u"), _pack(F.col("x.first"), F.col("x.n")).alias("at"))
-    rows = saved(rows.join(saved(index.repeated()), "h", "left_semi"))
-    kinds = saved(rows.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("one")))
-    several = saved(kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("g")))
-    kinds = saved(kinds.join(several, F.col("h") == F.col("g"), "left").select(F.col("h").alias("h2"), F.col("u").alias("u2"), "n", "one", F.col("g").isNotNull().alias("mixed")))
-    rows = rows.join(kinds, (F.col("h") == F.col("h2")) & (F.col("u") == F.col("u2")))
-    stands = F.col("mixed") & (F.col("n") > 1) & F.struct("doc_id", "th", "at").eqNullSafe(F.col("one"))
-    lists = {"sure": F.col("n") > 1, "check": F.col("n") == 1, "stand": stands}
-    return rows.groupBy("doc_id", "th").agg(*[F.collect_set(F.when(c, F.col("at"))).alias(k) for k, c in lists.items()])
+def _occurrences(found: DataFrame, old: bool) -> DataFrame:
+    """(h, u, old, doc_id, th, at) of every anchor."""
+    x = found.select("doc_id", "th", F.explode(F.arrays_zip("a.h", "a.u", "a.first", "a.n")).alias("x"))
+    return x.select(F.col("x.h").alias("h"), F.col("x.u").alias("u"), F.lit(old).alias("old"), "doc_id", "th", _pack(F.col("x.first"), F.col("x.n")).alias("at"))
+
+
+def suspects(index: FingerprintIndex, first: int = 0) -> DataFrame:
+    """Per row (old, doc_id, th) with repeated anchors: stretches (packed) that repeat, that are to check, and that stand for their equals.
+
+    Rows of batches before ``first`` are history: they have only what the others are compared with.
+    """
+    repeated = saved(index.repeated().select("h", (F.col("lo") < F.col("hi")).alias("mixed")))
+    rows = saved(_occurrences(index.anchors(first), False).join(repeated, "h"))
+    differing, history = rows.where("mixed").drop("mixed"), index.anchors(0, first) if first else None
+    if history is not None:
+        differing = saved(differing.union(_occurrences(history, True).join(repeated.where("mixed").select("h"), "h", "left_semi")))
+    kinds = saved(differing.groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct("old", "doc_id", "th", "at")).alias("one")))
+    k = kinds.select(F.col("h").alias("h2"), F.col("u").alias("u2"), "n")
+    place = ["old", "doc_id", "th", "at"]
+    new = differing.where("not old").join(k, (F.col("h") == F.col("h2")) & (F.col("u") == F.col("u2")))
+    found = rows.where("not mixed").select(*place, F.lit("sure").alias("kind"))
+    found = found.union(new.select(*place, F.when(F.col("n") > 1, "sure").otherwise("check").alias("kind")))
+    found = found.union(kinds.where("n > 1").select("one.*", F.lit("stand").alias("kind")))
+    if history is not None:
+        found = found.union(kinds.where("n = 1 and one.old").select("one.*", F.lit("check").alias("kind")))
+    return found.groupBy("old", "doc_id", "th").agg(*[F.collect_set(F.when(F.col("kind") == c, F.col("at"))).alias(c) for c in ("sure", "check", "stand")])
 
 
 def _starts(packed) -> np.ndarray:
@@ -214,17 +287,24 @@ def _finisher(keep_text: bool):
     return finish
 
 
-def without_repeats(docs: DataFrame, found: DataFrame, index: FingerprintIndex, keep_text: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, index: FingerprintIndex, first: int = 0, history: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, and (keep_text) the kept words.
 
-    ``found`` are the anchors that appending these documents gave, ``index`` holds all documents they are judged with.
+    ``docs`` are the documents of the index's batches from ``first`` on, ``history`` those of the batches before; they
+    are judged by all that the index holds.
     """
-    s = suspects(found, index)
-    d = _keyed(docs).alias("d").join(s.alias("s"), _same("d", "s"), "left").select("d.*", "s.sure", "s.check", "s.stand")
+    if (history is not None) != bool(first):
+        raise ValueError("history are the documents of the batches before the first that is judged")
+    s = saved(suspects(index, first))
+    d = _keyed(docs).alias("d").join(s.where("not old").alias("s"), _same("d", "s"), "left").select("d.*", "s.sure", "s.check", "s.stand")
     asked = F.size(F.coalesce("check", F.array().cast("array<long>"))) > 0
     d = saved(d.select("doc_id", "th", F.when(asked, F.col("sure")).alias("sure"), asked.alias("asked"), _looker(keep_text)("text", "sure", "check", "stand").alias("x")))
-    windows = d.where("x.start is not null").select("doc_id", "th", F.explode(F.arrays_zip("x.start", "x.h1", "x.h2", "x.weight")).alias("w")).select("doc_id", "th", "w.*")
-    twice = saved(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"))
+    hashed = lambda x: x.where("x.start is not null").select("doc_id", "th", F.explode(F.arrays_zip("x.start", "x.h1", "x.h2", "x.weight")).alias("w")).select("doc_id", "th", "w.*")
+    windows, others = hashed(d), []
+    if history is not None:  # a place of the index stands in one of the rows of its id and text
+        o = _keyed(history).alias("d").join(s.where("old").alias("s"), _same("d", "s")).select("d.*", "s.sure", "s.check", "s.stand").dropDuplicates(["doc_id", "th"])
+        others = [saved(hashed(o.select("doc_id", "th", _looker(False)("text", "sure", "check", "stand").alias("x"))))]
+    twice = saved(_union([windows, *others]).groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"))
     starts = windows.where("weight = 1").join(twice, ["h1", "h2"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("start").alias("start"))
     rest = d.where("asked").select("doc_id", "th", "sure", F.col("x.text").alias("text")).alias("d").join(starts.alias("s"), _same("d", "s"), "left")
     rest = rest.select(F.col("d.doc_id").alias("doc_id"), _finisher(keep_text)("d.text", "d.sure", "s.start").alias("done"))
@@ -233,11 +313,12 @@ def without_repeats(docs: DataFrame, found: DataFrame, index: FingerprintIndex,
 
 
 def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The contract's rows; the documents are indexed in batches, by a hash of their ids."""
-    index = FingerprintIndex()
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    found = _union([index.append(docs.where(batch == k)) for k in range(batches)])
-    return without_repeats(docs, found, index, keep_text=False)
+    """The contract's rows; the documents are indexed in batches, by a hash of their ids, of which texts are read once."""
+    index = FingerprintIndex(docs.sparkSession)
+    every = written(anchored(docs.select("doc_id", "text")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), by="batch")
+    for k in range(batches):
+        index.append(every.where(F.col("batch") == k))
+    return without_repeats(docs, index, keep_text=False)
 
 
 SQL = r"""

@@ -258,13 +258,11 @@ def test_many_languages_and_long_texts(spark):
     assert all(got[10_000 + k][0] == lang for k, lang in enumerate(words))
 
 
-def test_substring_dedup_in_batches(spark):
-    """Any number of batches gives the same rows, runs are compacted, and shared passages go word for word."""
+def repeating_docs(seed):
+    """Documents that share passages, some word for word twice, and what is to be removed of each by all windows."""
     import random
 
-    from folioflow.llm import substring_dedup
-
-    r = random.Random(11)
+    r = random.Random(seed)
     word = lambda: "w" + str(r.randrange(300))
     shared = [[word() for _ in range(n)] for n in (34, 35, 36, 80)]
     docs = {}
@@ -273,7 +271,7 @@ def test_substring_dedup_in_batches(spark):
         for s in shared:
             if r.random() < 0.3:
                 at = r.randrange(len(w) + 1)
-                w[at:at] = s
+                w[at:at] = s[: r.randrange(34, len(s) + 1)]
         docs[k] = w
     docs[200] = docs[201] = docs[3]
     windows = Counter(tuple(w[i : i + 35]) for w in docs.values() for i in range(len(w) - 34))
@@ -281,11 +279,41 @@ def test_substring_dedup_in_batches(spark):
     for k, w in docs.items():
         gone = {j for i in range(len(w) - 34) if windows[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
         want[k] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
-    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    return {k: " ".join(w) for k, w in docs.items()}, want
+
+
+def test_substring_dedup_in_batches(spark):
+    """Any number of batches gives the same rows, runs are compacted, and shared passages go word for word."""
+    from folioflow.llm import substring_dedup
+
+    docs, want = repeating_docs(11)
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     for batches in (1, 7):
         assert {x[0]: (x[1], x[2], x[3]) for x in map(tuple, substring_dedup.digest(d, batches).collect())} == want
 
 
+@pytest.mark.parametrize("seed", [12, 13])
+def test_substring_dedup_of_a_later_batch(spark, tmp_path, seed):
+    """An index that was saved and loaded judges a later batch alone as all documents at once do; its old runs are not shuffled."""
+    from folioflow.llm import substring_dedup
+
+    docs, want = repeating_docs(seed)
+    part = lambda ids: spark.createDataFrame([(k, docs[k]) for k in ids], "doc_id long, text string")
+    ids = sorted(docs)
+    old, new = [k for k in ids if k % 3], [k for k in ids if k % 3 == 0]
+    index = substring_dedup.FingerprintIndex(spark, 4)
+    for half in (old[::2], old[1::2]):
+        index.append(substring_dedup.anchored(part(half)))
+    index.save(str(tmp_path / "index"))
+    index = substring_dedup.FingerprintIndex.load(spark, str(tmp_path / "index"))
+    joined = index._run(index.runs[0]).alias("x").join(index._run(index.runs[1]).alias("y").hint("merge"), "h")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    index.append(substring_dedup.anchored(part(new)))
+    assert len(index.runs) == 1 and len(index.found) == 3
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.without_repeats(part(new), index, 2, part(old)).collect()}
+    assert got == {k: want[k] for k in new}
+
+
 def test_mixing_comes_near_targets(spark):
     rows = queries.op2_source_mixing(spark, SF.replace("0.001", "0.1")).collect()
     source = dict(duckdb.sql(f"select doc_id, source from '{SF.replace('0.001', '0.1')}/documents.parquet'").fetchall())
