@@ -24,6 +24,7 @@ are told apart by id (null is an id) and a hash of the text; of other columns no
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from itertools import compress
@@ -32,9 +33,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioflow.llm.common import saved
-from folioflow.operators.shared import shared_folder, written
+from folioflow.operators.shared import shared_folder
 
 WINDOW, GRAM = 35, 8
 FAN_IN, BATCHES = 2, 3
@@ -123,6 +125,7 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.found: list[str] = []
         self.shared: list[str] = []
+        self.schema: list[str] = []  # of the anchors, as JSON
 
     def _path(self, kind: str) -> str:
         return f"{shared_folder(self.spark)}/index-{kind}-{uuid.uuid4().hex}"
@@ -146,8 +149,28 @@ class FingerprintIndex:
 
     def append(self, found: DataFrame) -> None:
         """Index one batch: the rows of ``anchored``."""
-        self.found.append(self._write("found", found.select("doc_id", "th", "a")))
-        rows = self.spark.read.parquet(self.found[-1]).select(F.explode(F.arrays_zip("a.h", "a.u")).alias("x")).select("x.*")
+        found = found.select("doc_id", "th", "a")
+        self.schema = [found.schema.json()]
+        self._add(self._write("found", found))
+
+    def append_all(self, found: DataFrame, batches: int) -> None:
+        """Index the rows of ``anchored``, with a column ``batch``, one batch after the other; they are written once."""
+        path, self.schema = self._path("found"), [found.drop("batch").schema.json()]
+        found.write.option("compression", "zstd").partitionBy("batch").parquet(path)
+        for k in range(batches):
+            self._add(f"{path}#{k}")
+
+    def _read(self, found: str) -> DataFrame:
+        """The anchors at a path, or of one batch of it."""
+        path, _, batch = found.partition("#")
+        own = StructType.fromJson(json.loads(self.schema[0]))
+        if not batch:
+            return self.spark.read.schema(own).parquet(path)
+        return self.spark.read.schema(StructType([*own.fields, StructField("batch", IntegerType())])).parquet(path).where(F.col("batch") == int(batch)).drop("batch")
+
+    def _add(self, found: str) -> None:
+        self.found.append(found)
+        rows = self._read(found).select(F.explode(F.arrays_zip("a.h", "a.u")).alias("x")).select("x.*")
         counts = rows.groupBy("h").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"))
         new = self._write_run(counts)
         self.shared.append(self._write("shared", self._run(new).where("n > 1").select("h", "lo", "hi")))
@@ -174,12 +197,12 @@ class FingerprintIndex:
 
     def anchors(self, first: int = 0, end: int | None = None) -> DataFrame | None:
         """The anchors by document of some batches."""
-        paths = self.found[first:end]
-        return self.spark.read.parquet(*paths) if paths else None
+        parts = self.found[first:end]
+        return _union([self._read(x) for x in parts]) if parts else None
 
     def save(self, path: str) -> None:
         """Write down which tables the index has."""
-        rows = [(kind, k, p, self.buckets) for kind in ("runs", "found", "shared") for k, p in enumerate(getattr(self, kind))]
+        rows = [(kind, k, p, self.buckets) for kind in ("schema", "runs", "found", "shared") for k, p in enumerate(getattr(self, kind))]
         self.spark.createDataFrame(rows, "kind string, k int, path string, buckets int").coalesce(1).write.mode("overwrite").json(path)
 
     @classmethod
@@ -315,9 +338,7 @@ def without_repeats(docs: DataFrame, index: FingerprintIndex, first: int = 0, hi
 def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The contract's rows; the documents are indexed in batches, by a hash of their ids, of which texts are read once."""
     index = FingerprintIndex(docs.sparkSession)
-    every = written(anchored(docs.select("doc_id", "text")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), by="batch")
-    for k in range(batches):
-        index.append(every.where(F.col("batch") == k))
+    index.append_all(anchored(docs.select("doc_id", "text")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), batches)
     return without_repeats(docs, index, keep_text=False)
 
 
