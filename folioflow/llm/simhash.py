@@ -33,6 +33,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 SLICE = 1 << 16
 #: Compare so many pairs of an anchor at once; larger groups are first split by the bytes of the other half.
 PAIRS = 1 << 22
+#: Anchors of over about so many fingerprints, by one in ONE_IN of them, are dealt by the other half's bytes; so many such anchors are broadcast.
+HOT, ONE_IN, BROADCAST_HOT = 1 << 14, 16, 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -105,14 +107,35 @@ def _links(homes: np.ndarray, there: np.ndarray, shift: int, distance: int) -> I
 
 
 def _paths(there: np.ndarray, home: np.ndarray, k: int, distance: int) -> list[np.ndarray]:
-    """Sorted members of each local component of two or more."""
-    label = np.arange(len(there))
+    """Sorted members of each local component of two or more, by union-find."""
+    up = np.arange(len(there))
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        r = up[x]
+        while (up[r] != r).any():
+            r = up[r]
+        up[x] = r
+        return r
+
     for h, linked in _links(np.flatnonzero(home), there, 0 if k >> 32 == 0 else 32, distance):
-        old = np.unique(label[np.append(linked, h)])
-        if len(old) > 1:
-            label[np.isin(label, old)] = old[0]
-    names, n = np.unique(label, return_counts=True)
-    return [np.sort(there[label == x]) for x in names[n > 1]]
+        r = roots(np.append(linked, h))
+        up[r] = r.min()
+    order = np.argsort(roots(np.arange(len(there))), kind="stable")
+    names, first, n = np.unique(up[order], return_index=True, return_counts=True)
+    return [np.sort(there[order[f : f + m]]) for f, m in zip(first[n > 1], n[n > 1], strict=True)]
+
+
+def _split(anchored: DataFrame, fps: DataFrame) -> DataFrame:
+    """Adds ``s``: 0, or for anchors of over about HOT fingerprints each of the other half's four bytes: of two that link, one byte at least is equal."""
+    some = _anchored(fps.where(F.pmod(F.xxhash64("fp", F.lit(99)), F.lit(ONE_IN)) == 0))
+    hot = saved(some.groupBy("k").count().where(F.col("count") * ONE_IN > HOT).select(F.col("k").alias("hot")))
+    n_hot = hot.count()
+    if not n_hot:
+        return anchored.withColumn("s", F.lit(0))
+    other = F.when(F.shiftright("k", 32) == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
+    bytes_ = F.array(*[(F.shiftrightunsigned(other, 8 * i).bitwiseAND(F.lit(255)) + 256 * i + 1).cast("int") for i in range(4)])
+    d = anchored.join(F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot, F.col("k") == F.col("hot"), "left")
+    return d.select("k", "fp", "home", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(bytes_)).alias("s"))
 
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -121,8 +144,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError("halves that differ in at most 1 bit are sure up to a distance of 3")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def groups(k: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
-            at = np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
+        def groups(k: np.ndarray, part: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
+            at = np.flatnonzero((np.diff(k, prepend=k[:1] - 1) != 0) | (np.diff(part, prepend=part[:1]) != 0))
             sizes, homes = np.diff(at, append=len(k)), np.add.reduceat(home, at) if len(at) else at
             a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for i in np.flatnonzero((sizes > 1) & (homes > 0)):
@@ -132,22 +155,24 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                     b.append(p[1:])
             return pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)}).drop_duplicates()
 
-        rest: list[tuple] = []  # of the last key, which may go on in the next batch
+        rest: list[tuple] = []  # of the last group, which may go on in the next batch
         for x in batches:
             if len(x):
-                new = (x["k"].to_numpy(), x["fp"].to_numpy().view(np.uint64), x["home"].to_numpy().astype(np.int64))
-                if rest and new[0][0] == new[0][-1] == rest[-1][0][-1]:
+                new = (x["k"].to_numpy(), x["s"].to_numpy(), x["fp"].to_numpy().view(np.uint64), x["home"].to_numpy().astype(np.int64))
+                if rest and new[0][0] == new[0][-1] == rest[-1][0][-1] and new[1][0] == new[1][-1] == rest[-1][1][-1]:
                     rest.append(new)
                     continue
-                k, fp, home = (np.concatenate(c) for c in zip(*rest, new, strict=True))
+                columns = [np.concatenate(c) for c in zip(*rest, new, strict=True)]
+                k, part = columns[:2]
                 cut = np.searchsorted(k, k[-1])
-                rest = [(k[cut:], fp[cut:], home[cut:])]
+                cut += np.searchsorted(part[cut:], part[-1])
+                rest = [tuple(c[cut:] for c in columns)]
                 if cut:
-                    yield groups(k[:cut], fp[:cut], home[:cut])
+                    yield groups(*(c[:cut] for c in columns))
         if rest:
             yield groups(*(np.concatenate(c) for c in zip(*rest, strict=True)))
 
-    dealt = _anchored(fps).repartition("k").sortWithinPartitions("k")
+    dealt = _split(_anchored(fps), fps).repartition("k", "s").sortWithinPartitions("k", "s")
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 

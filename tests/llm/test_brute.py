@@ -68,12 +68,17 @@ def test_simhash(spark, texts):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{fps[i]:016x}", label[i]) for i in texts}
 
 
-def test_simhash_links_every_distance(spark):
-    """Pairs at all ways to spread up to 3 bits over the halves link; pairs at 4 do not; a large group of near copies stays whole."""
+@pytest.mark.parametrize("hot", [1 << 14, 50])
+def test_simhash_links_every_distance(spark, hot, monkeypatch):
+    """Pairs at all ways to spread up to 3 bits over the halves link; pairs at 4 do not; a large group of near copies stays whole, also where its anchors are split."""
     import random
 
+    from folioflow.llm import simhash
     from folioflow.llm.simhash import classes
 
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "ONE_IN", 1 if hot == 50 else 16)
+
     r = random.Random(5)
     rows, expected = [], {}
     for k in range(300):
