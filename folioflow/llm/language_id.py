@@ -1,7 +1,7 @@
 """Language identification by prediction with partial matching (PPM).
 
 Each language has a tree of byte contexts of orders 0 to ``ORDER`` with escape method C. Texts are lower-cased, in any
-script, and cut at white space; a byte's context are the bytes before it back to the blank before its word. After
+script, and cut at white space, digits and ASCII marks; a byte's context are the bytes before it back to the blank before its word. After
 training the statistics are frozen: the code length of a word is then a function of the word, summed from tables of
 code lengths by gram (context and byte) and of escapes by context, so each worker keeps the code lengths of the words
 it has met, and a text's code length in each language is a sum over its words. The shortest wins.
@@ -39,12 +39,13 @@ FOLDS, HELD = 4, 2
 LONGEST, CACHED, CACHE_BYTES = 64, 500_000, 48 << 20
 #: Score so many code lengths (bytes times languages) at once.
 CHUNK = 1 << 20
-_PLAIN = bytes(48 if 48 <= b <= 57 else b for b in range(256))
+#: Digits and ASCII marks say nothing about the language: they part words like blanks, but for the apostrophe.
+_PLAIN = bytes(b if b >= 128 or chr(b).isalpha() or b == 39 else 32 for b in range(256))
 BLANK = 32
 
 
 def split(text: str) -> list[bytes]:
-    """A text's words: lower-cased, digits made alike."""
+    """A text's words, lower-cased."""
     return text.lower().encode().translate(_PLAIN).split()
 
 
