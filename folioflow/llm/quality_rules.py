@@ -122,3 +122,8 @@ b AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100
              + (CASE WHEN 10 * n_bangs > 3 * n_words THEN 32 ELSE 0 END) + (CASE WHEN 10 * n_stutter > 4 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+#: DuckDB twin of ``ablations`` under policy v2.
+ABLATION_SQL = SQL[: SQL.rindex("SELECT doc_id, n_words")] + f"""SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS rejected, count(*) FILTER (fail_bits = bit) AS only_this, count(*) FILTER (fail_bits = 0 OR fail_bits = bit) AS kept_without
+FROM b, (VALUES {", ".join(f"('{k}', {v}::BIGINT)" for k, v in RULES.items())}) AS r(rule, bit) GROUP BY rule
+"""
