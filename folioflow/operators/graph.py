@@ -135,7 +135,8 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     ids = list(up)
-    yield pd.DataFrame({"id": ids, "component": [root(x) for x in ids]})
+    if ids:
+        yield pd.DataFrame({"id": ids, "component": [root(x) for x in ids]})
 
 
 def components(pairs: DataFrame) -> DataFrame:

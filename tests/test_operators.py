@@ -180,10 +180,14 @@ def test_pagerank(spark):
     assert graph.pagerank(e.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [200_000, 1])
+def test_components(spark, edges_a_task, monkeypatch):
+    """By union-find in one task, and in rounds."""
+    monkeypatch.setattr(graph, "EDGES_A_TASK", edges_a_task)
     pairs = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("900", "901"), ("902", "901"), ("950", "950")]
     c = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "id1 string, id2 string")).collect()}
     assert {c[f"{i:03}"] for i in range(41)} == {"000"} and c["901"] == c["902"] == "900"
+    assert graph.components(spark.createDataFrame([], "id1 string, id2 string")).count() == 0
 
 
 def test_walks(spark):
