@@ -142,8 +142,27 @@ def expected_time(matrix: DataFrame, target: str, from_state: str | None = None)
     return h[from_state] if from_state else sum(h.values()) / len(h)
 
 
-def trajectories(matrix: DataFrame, start: str | None, steps: int, walks: int = 1, seed: str = "42") -> DataFrame:
-    """(walk_id, step, state): paths of ``steps`` states, start included; each step inverts the row's cumulative probabilities at a hash draw."""
+def initial_distribution(weights: DataFrame) -> DataFrame:
+    """(state, prob): weights of states scaled to a sum of 1; null and negative weights count as 0, equal states add up, none has a row if the sum is 0."""
+    w = weights.groupBy("state").agg(F.sum(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("weight"))
+    total = w.agg(F.sum("weight").alias("total"))
+    return w.crossJoin(F.broadcast(total)).where("total > 0").select("state", (F.col("weight") / F.col("total")).alias("prob"))  # one row
+
+
+def _drawn_starts(at: DataFrame, initial: DataFrame, seed: str) -> DataFrame:
+    """A state for each walk: the cumulative distribution, inverted at a hash draw."""
+    upper = F.sum("prob").over(Window.orderBy("state"))  # one row a state
+    all_states = initial.where("prob > 0").select(upper.alias("upper"), "state").agg(F.sort_array(F.collect_list(F.struct("upper", "state"))).alias("all"))
+    u = F.conv(F.substring(priority(seed, "start", F.col("walk_id")), 1, 8), 16, 10).cast("long") / float(2**32)
+    first = F.element_at(F.filter("all", lambda x: x["upper"] > F.col("u")), 1)["state"]
+    return at.withColumn("u", u).crossJoin(F.broadcast(all_states)).select("walk_id", F.coalesce(first, F.element_at("all", -1)["state"]).alias("state"))
+
+
+def trajectories(matrix: DataFrame, start: str | None, steps: int, walks: int = 1, seed: str = "42", initial: DataFrame | None = None) -> DataFrame:
+    """(walk_id, step, state): paths of ``steps`` states, start included; each step inverts the row's cumulative probabilities at a hash draw.
+
+    Without a start, walks start by ``initial`` (see ``initial_distribution``), or anywhere alike.
+    """
     spark = matrix.sparkSession
     w = Window.partitionBy("from_state").orderBy("to_state")
     upper = F.sum("prob").over(w)
@@ -151,7 +170,9 @@ def trajectories(matrix: DataFrame, start: str | None, steps: int, walks: int =
     top = rows.groupBy("from_state").agg(F.sort_array(F.collect_list(F.struct("upper", "to_state"))).alias("next"))  # as long as a row of the chain
     top = F.broadcast(top) if top.limit(MAX_STATES + 1).count() <= MAX_STATES else top
     at = spark.range(walks).select(F.col("id").alias("walk_id"))
-    if start is None:
+    if start is None and initial is not None:
+        at = _drawn_starts(at, initial, seed)
+    elif start is None:
         states = matrix.select("from_state").distinct().agg(F.sort_array(F.collect_list("from_state")).alias("all"))
         at = at.crossJoin(F.broadcast(states)).select("walk_id", F.element_at("all", (F.conv(F.substring(priority(seed, "start", F.col("walk_id")), 1, 8), 16, 10).cast("long") % F.size("all") + 1).cast("int")).alias("state"))
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import whitespace_tokens
@@ -66,6 +66,11 @@ def statistics_by(rows: DataFrame, key: Column, value: Column) -> DataFrame:
     return aggregate(rows, key, n=F.count(value), total=F.sum(value), average=F.avg(value), minimum=F.min(value), maximum=F.max(value))
 
 
+def first_per_group(df: DataFrame, by: str, order: str, n: int = 100) -> DataFrame:
+    """The first ``n`` rows of each group in order; each task drops what can't be among them before the shuffle."""
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_place") <= n).drop("_place")
+
+
 def filtered_count(rows: DataFrame, predicate: Column) -> DataFrame:
     return rows.where(predicate).agg(F.count("*").alias("n"))
 
@@ -126,8 +131,6 @@ def system_health(rows: DataFrame) -> DataFrame:
 
 def workflow(rows: DataFrame) -> DataFrame:
     """Per state: mean time in it, its place among the slowest, and the bottleneck percentage over all rows."""
-    from pyspark.sql import Window
-
     rate = rows.agg((F.avg(F.coalesce(F.col("bottleneck").cast("int"), F.lit(0))) * 100).alias("bottleneck_rate"))
     times = rows.where("state is not null").groupBy("state").agg(F.avg(F.coalesce(F.col("time_in_state"), F.lit(0.0))).alias("avg_time"))
     return times.withColumn("place", F.row_number().over(Window.orderBy(F.desc("avg_time"), "state"))).crossJoin(F.broadcast(rate))  # a row per state; one row

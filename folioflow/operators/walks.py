@@ -45,6 +45,11 @@ def analyze(walks: DataFrame, n_nodes: int) -> DataFrame:
     return walks.groupBy("walk_id").agg(F.count("*").alias("length"), d.alias("unique_nodes"), (d / F.lit(n_nodes)).alias("coverage"))
 
 
+def mean_coverage(walks: DataFrame, n_nodes: int) -> DataFrame:
+    """One row: how many walks, and the means of their coverage and distinct nodes."""
+    return analyze(walks, n_nodes).agg(F.count("*").alias("sessions"), F.avg("coverage").alias("mean_coverage"), F.avg("unique_nodes").alias("mean_unique_nodes"))
+
+
 def visits(walks: DataFrame, n: int = 10) -> DataFrame:
     """(node, visits, frequency): the most visited nodes over all walks."""
     total = walks.agg(F.count("*").alias("total"))

@@ -180,6 +180,7 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "n_step": f"WITH {MATRIX}, t2 AS (SELECT a.from_state, b.to_state, sum(a.prob * b.prob) AS prob FROM tm a JOIN tm b ON a.to_state = b.from_state GROUP BY ALL) SELECT a.from_state, b.to_state, round(sum(a.prob * b.prob), 6) AS prob FROM t2 a JOIN tm b ON a.to_state = b.from_state GROUP BY ALL",
     "chain_flags": f"{_POWER} SELECT (SELECT count(*) FROM ss) AS num_states, (SELECT count(*) FROM q64 WHERE prob > 0) = (SELECT count(*) * count(*) FROM ss) AS is_irreducible, EXISTS (SELECT 1 FROM tm WHERE from_state = to_state AND prob > 0) AS is_aperiodic",
     "hitting_exact": f"{_HITTING} SELECT state, round(steps, 6) AS steps FROM h250",
+    "chain_initial_distribution": "SELECT state, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS prob FROM (SELECT arg_min(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id) GROUP BY state",
     "markov_trajectories": f"{_TRAJECTORY} " + " UNION ALL ".join(f"SELECT w AS walk_id, {k}::BIGINT AS step, state FROM t{k}" for k in range(10)),
     "document_importance": f"WITH {_pagerank(12, TAG_GRAPH)} SELECT id, round(score, 6) AS score, title, coalesce(category, 'unknown') AS category FROM (SELECT id, score FROM pr ORDER BY score DESC, id LIMIT 10) JOIN docs ON _id = id",
     "pagerank_converged": f"WITH {_pagerank(60, GRAPH)} SELECT id, round(score, 6) AS score FROM pr",
@@ -191,6 +192,7 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "graph_degrees": f"WITH {GRAPH}, d AS (SELECT id, (SELECT count(DISTINCT dst) FROM ed WHERE src = id) AS d FROM nd) SELECT count(*) AS num_nodes, CAST(sum(d) AS BIGINT) AS num_edges, round(avg(d), 6) AS avg_degree, max(d) AS max_degree, min(d) AS min_degree FROM d",
     "walk_paths": f"WITH {_walk(5, _NODE_STARTS)} SELECT walk_id, CAST(step AS BIGINT) AS step, node FROM wk",
     "walk_summary": f"WITH {_walk(5, _NODE_STARTS)} SELECT walk_id, count(*) AS length, count(DISTINCT node) AS unique_nodes, round(count(DISTINCT node) / (SELECT count(*) FROM nd), 6) AS coverage FROM wk GROUP BY 1",
+    "navigation_coverage": f"WITH {_walk(30, _STUDY, 0.1)}, pw AS (SELECT walk_id, count(DISTINCT node) AS u FROM wk GROUP BY 1) SELECT count(*) AS sessions, round(avg(u / (SELECT count(*) FROM nd)), 6) AS mean_coverage, round(avg(u), 6) AS mean_unique_nodes FROM pw",
     "navigation_report": f"WITH {_walk(30, _STUDY, 0.1)} SELECT node, count(*) AS visits, round(count(*) / (SELECT count(*) FROM wk), 6) AS frequency FROM wk GROUP BY 1 ORDER BY visits DESC, node LIMIT 10",
     "walk_recs": f"WITH {_walk(10, "SELECT CAST(w AS VARCHAR) AS walk_id, '007' AS start, '007' AS node FROM range(100) AS r(w)")} SELECT node, count(*) AS visits FROM wk WHERE node <> '007' GROUP BY 1 ORDER BY visits DESC, node LIMIT 5",
     "word_count": f"WITH {DOCS} SELECT word, count(*) AS n FROM (SELECT unnest(list_concat({_split('lower(title)')}, list_slice({_split('lower(content)')}, 1, 50))) AS word FROM docs) WHERE length(word) > 3 GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
@@ -202,6 +204,7 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "system_health": f"WITH {STATES} SELECT round(avg(coalesce(throughput, 0)), 6) AS avg_throughput, round(avg(coalesce(utilization, 0)), 6) AS avg_utilization, round(avg(coalesce(queue_length, 0)), 6) AS avg_queue_length, round(least(avg(coalesce(utilization, 0)), 1), 6) AS health_score FROM st",
     "workflow_states": f"WITH {STATES}, t AS (SELECT state, avg(coalesce(time_in_state, 0)) AS a FROM st GROUP BY 1) SELECT state, round(a, 6) AS avg_time, row_number() OVER (ORDER BY a DESC, state) AS place, round((SELECT avg(bottleneck::INT) FROM st) * 100, 6) AS bottleneck_rate FROM t",
     "multi_key_stats": f"WITH {DOCS}, d AS (SELECT docs.*, CASE WHEN toxic IS NULL THEN 'unknown' WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS state FROM docs LEFT JOIN labels ON doc_id = ord), k AS (SELECT 'cat' AS kind, coalesce(category, 'unknown') AS key, length(content)::DOUBLE AS v FROM d UNION ALL SELECT 'state', state, 1.0 FROM d UNION ALL SELECT 'tag', tag, 1.0 FROM tags) SELECT kind, key, count(*) AS count, sum(v) AS total FROM k GROUP BY ALL",
+    "first_of_category": "SELECT CAST(doc_id AS VARCHAR) AS _id, source AS category FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 100",
     "filtered_count": "SELECT count(*) AS n FROM documents WHERE source = 'src3'",
     "part_count": "SELECT p_type AS key, count(*) AS n FROM part GROUP BY 1",
     "part_avg": "SELECT p_type AS key, round(avg(p_size), 6) AS average FROM part GROUP BY 1",

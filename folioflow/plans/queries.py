@@ -241,6 +241,12 @@ def hitting_exact(spark, sf):
     return markov.hitting_times(markov.transition_matrix(views.states(spark, sf)), "purchase")
 
 
+@query
+def chain_initial_distribution(spark, sf):
+    s = views.states(spark, sf).where("from_state is null").groupBy(F.col("state")).agg(F.count("*").alias("weight"))
+    return markov.initial_distribution(s)
+
+
 @query
 def markov_trajectories(spark, sf):
     return markov.trajectories(graph.written(markov.transition_matrix(views.states(spark, sf))), None, 10, 50)
@@ -317,6 +323,12 @@ def navigation_report(spark, sf):
     return walks.visits(graph.written(walks.navigation_study(e, 100, 30)), 10)
 
 
+@query
+def navigation_coverage(spark, sf):
+    e = graph.written(views.navigation(spark, sf))
+    return walks.mean_coverage(walks.navigation_study(e, 100, 30), graph.nodes_of(e).count())
+
+
 @query
 def walk_recs(spark, sf):
     return walks.walk_recommendations(graph.written(views.navigation(spark, sf)), "007")
@@ -383,6 +395,11 @@ def multi_key_stats(spark, sf):
     return reports.multi_key_statistics(d)
 
 
+@query
+def first_of_category(spark, sf):
+    return reports.first_per_group(views.documents(spark, sf).select("_id", "ord", "category"), "category", "ord", 100).select("_id", "category")
+
+
 @query
 def filtered_count(spark, sf):
     return reports.filtered_count(views.documents(spark, sf), F.col("category") == "src3")
@@ -624,6 +641,14 @@ def stream_dgim(spark, sf):
     return streams.run_available(streams.dgim(e, 50), "update").groupBy("key").agg(F.max_by(F.struct("clock", "estimate"), "batch").alias("x")).select("key", "x.*")
 
 
+@query
+def stream_call_monitor(spark, sf):
+    from folioflow.streaming import streams
+
+    out = streams.run_available(streams.call_monitor(streams.events_stream(spark, sf), "event_type", "event_id"), "update")
+    return out.groupBy("key").agg(F.max_by(F.struct("clock", "estimate"), "batch").alias("x")).select("key", "x.*")
+
+
 @query
 def stream_reservoir(spark, sf):
     from folioflow.streaming import streams

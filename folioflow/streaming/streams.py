@@ -80,6 +80,11 @@ def dgim(bits: DataFrame, window: int) -> DataFrame:
     return bits.groupBy("key").applyInPandasWithState(fold, "key string, clock long, estimate long", "clock long, times array<long>, sizes array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+def call_monitor(calls: DataFrame, key: str, order: str, window: int = 3600) -> DataFrame:
+    """(key, clock, estimate) after each batch: about how many of the key's last ``window`` calls there were, each call a one."""
+    return dgim(calls.select(F.col(key).cast("string").alias("key"), F.col(order).alias("seq"), F.lit(1).alias("bit")), window)
+
+
 def reservoir(rows: DataFrame, k: int, seed: str = "42") -> DataFrame:
     """(shard, id) of a uniform sample after each batch: each of a few shards keeps its k smallest hash priorities.
 
@@ -97,12 +102,15 @@ def reservoir(rows: DataFrame, k: int, seed: str = "42") -> DataFrame:
     return sharded.groupBy("shard").applyInPandasWithState(fold, "shard int, priority string, id string", "kept array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a query over what its source has, and read the written result; in update mode the last batch's rows of each key win by ``batch``."""
+def run_available(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Run a query over what its source has, and read the written result; in update mode the last batch's rows of each key win by ``batch``.
+
+    A query with a name goes on from the state of its last run; ``reset`` forgets it.
+    """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = _root(spark, name or uuid.uuid4().hex)
 
-    spark.createDataFrame([], StructType([*stream.schema.fields, StructField("batch", IntegerType())])).write.parquet(f"{root}/out/batch-none")  # a stream without a batch has no rows
+    spark.createDataFrame([], StructType([*stream.schema.fields, StructField("batch", IntegerType())])).write.mode("ignore").parquet(f"{root}/out/batch-none")  # a stream without a batch has no rows
 
     def write(batch: DataFrame, number: int) -> None:  # a batch that is run again overwrites what it has written
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch-{number}")
@@ -110,3 +118,13 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out/*")
+
+
+def _root(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/stream-{name}"
+
+
+def reset(spark: SparkSession, name: str) -> None:
+    """Forget the state and the results of a named query: its next run starts from nothing, and reads its source anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark, name))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

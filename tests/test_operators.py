@@ -1,12 +1,15 @@
 """Operators on toy inputs with values worked out by hand or by independent formulas."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 
 from folioflow.functions import hashing, registry, text
 from folioflow.operators import access, dgim, graph, markov, recommend, reports, search, similarity, sketches, store, walks
 from folioflow.sources import documents
+from folioflow.streaming import streams
 
 
 def F():
@@ -140,6 +143,74 @@ def test_dgim_against_exact(spark):
     assert r["exact"] in (33, 34) and r["error_percentage"] <= 50
 
 
+class SlowDgim:
+    """The same counter by levels: lists of end times for each size, at most two of them."""
+
+    def __init__(self, window):
+        self.window, self.clock, self.levels = window, 0, []
+
+    def update(self, bit):
+        self.clock += 1
+        if bit:
+            carry, k = self.clock, 0
+            while carry is not None:
+                if k == len(self.levels):
+                    self.levels.append([])
+                self.levels[k].append(carry)
+                carry = None
+                if len(self.levels[k]) > 2:
+                    carry = self.levels[k][1]
+                    self.levels[k] = self.levels[k][2:]
+                k += 1
+            self.levels = [[t for t in x if t > self.clock - self.window] for x in self.levels]
+
+    def count(self):
+        sizes = sorted((t, 2**k) for k, x in enumerate(self.levels) for t in x)
+        return sum(s for _, s in sizes[1:]) + (sizes[0][1] // 2 if sizes else 0)
+
+    def buckets(self):
+        return sum(map(len, self.levels))
+
+
+def test_dgim_comparison_by_brute_force(spark):
+    """Every key's last bit: exact count, estimate, error and buckets."""
+    draw = random.Random(5)
+    bits = [(f"k{k}", s, int(draw.random() < (0, 0.05, 0.5, 1)[k % 4])) for k in range(8) for s in range(10 + 60 * k)]
+    d = spark.createDataFrame(draw.sample(bits, len(bits)), "key string, seq long, bit int")
+    got = {r["key"]: r for r in dgim.comparison(d, 40).collect()}
+    assert len(got) == 8
+    for key, r in got.items():
+        own = [b for k, _, b in bits if k == key]
+        slow = SlowDgim(40)
+        for b in own:
+            slow.update(b)
+        exact = sum(own[-40:])
+        assert (r["exact"], r["estimate"], r["n_buckets"], r["difference"]) == (exact, slow.count(), slow.buckets(), abs(exact - slow.count()))
+        assert r["error_percentage"] == pytest.approx(abs(exact - slow.count()) / exact * 100 if exact else 0)
+
+
+def test_call_monitor_state_and_reset(spark, tmp_path):
+    """A named query goes on where it stopped; a reset forgets its state."""
+    rows = [(k, i) for k in ("a", "b") for i in range(30 if k == "a" else 9)]
+    source = str(tmp_path / "in")
+    stream = lambda: spark.readStream.schema("key string, seq long").parquet(source)
+    name = f"test-{tmp_path.name}-{random.random()}"
+    expected = {}
+    for part in (0, 1):
+        spark.createDataFrame([r for r in rows if r[1] % 2 == part], "key string, seq long").coalesce(1).write.mode("append").parquet(source)
+        out = streams.run_available(streams.call_monitor(stream(), "key", "seq", 7), "update", name)
+        last = {r["key"]: r["x"] for r in out.groupBy("key").agg(F().max_by(F().struct("clock", "estimate"), "batch").alias("x")).collect()}
+        for k in ("a", "b"):
+            slow = expected.setdefault(k, SlowDgim(7))
+            for _ in [r for r in rows if r[0] == k and r[1] % 2 == part]:
+                slow.update(1)
+            assert tuple(last[k]) == (slow.clock, slow.count())
+    streams.reset(spark, name)
+    again = streams.run_available(streams.call_monitor(stream(), "key", "seq", 7), "update", name)
+    assert {r["key"]: r["m"] for r in again.groupBy("key").agg(F().max("clock").alias("m")).collect()} == {"a": 30, "b": 9}
+    streams.reset(spark, name)
+
+
 @pytest.fixture(scope="module")
 def chain(spark):
     rows = {"a": {"b": 1.0}, "b": {"a": 0.5, "c": 0.5}, "c": {"c": 1.0}}
@@ -165,6 +236,12 @@ def test_markov(spark, chain):
     path = {(r["walk_id"], r["step"]): r["state"] for r in t}
     assert len(t) == 300 and all((path[w, s], path[w, s + 1]) in allowed for w, s in path if s < 5)
     assert markov.expected_time(chain, "c") == pytest.approx(7 / 3)
+    weights = spark.createDataFrame([("a", 3.0), ("b", 0.5), ("b", 0.5), ("c", -1.0), ("c", None)], "state string, weight double")
+    start = markov.initial_distribution(weights)
+    assert {r["state"]: r["prob"] for r in start.collect()} == {"a": 0.75, "b": 0.25, "c": 0}
+    assert markov.initial_distribution(weights.limit(0)).count() == 0
+    first = markov.trajectories(chain, None, 1, 4000, initial=start).groupBy("state").count().collect()
+    assert {r["state"]: r["count"] / 4000 for r in first} == {"a": pytest.approx(0.75, abs=0.03), "b": pytest.approx(0.25, abs=0.03)}
 
 
 def test_pagerank(spark):
@@ -202,6 +279,34 @@ def test_walks(spark):
     assert one(walks.hitting_time(end, "B", "A", 5, 100))["hitting_time"] == math.inf
 
 
+def test_simulations_against_exact_means(spark):
+    """Mean hitting time by linear equations, mean cover time of a ring of n nodes n (n - 1) / 2."""
+    draw = random.Random(3)
+    pairs = sorted({(a, b) for a in range(8) for b in draw.sample(range(8), 3) if a != b} | {(a, (a + 1) % 8) for a in range(8)})
+    e = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
+    p = np.zeros((8, 8))
+    for a, b in pairs:
+        p[a, b] = 1
+    p /= p.sum(1, keepdims=True)
+    exact = np.linalg.solve(np.eye(7) - p[:7, :7], np.ones(7))[2]
+    r = one(walks.hitting_time(e, "2", "7", 3000))
+    assert r["reached"] == 3000 and r["hitting_time"] == pytest.approx(exact, rel=0.1)
+    ring = spark.createDataFrame([(str(a), str((a + s) % 6)) for a in range(6) for s in (1, 5)], "src string, dst string")
+    c = one(walks.cover_time(ring, None, 3000))
+    assert c["covered"] == 3000 and c["cover_time"] == pytest.approx(15, rel=0.1)
+    star = spark.createDataFrame([("m", x) for x in "abc"] + [(x, "m") for x in "abc"], "src string, dst string")
+    assert one(walks.mixing_time(star, "m", 40, 0.01))["mixing_time"] == 40  # the middle holds half of all visits
+    whole = spark.createDataFrame([(a, b) for a in "abcd" for b in "abcd"], "src string, dst string")
+    shares = [one(walks.mixing_time(whole, "a", 400, t))["mixing_time"] for t in (2.0, 0.3, 0.05)]
+    assert shares[0] == 1 and shares == sorted(shares) and shares[2] < 400  # no walk is 2.0 away
+    w = walks.navigation_study(ring, 20, 10)
+    paths: dict = {}
+    for r in w.collect():
+        paths.setdefault(r["walk_id"], set()).add(r["node"])
+    m = one(walks.mean_coverage(w, 6))
+    assert m["sessions"] == 20 and m["mean_coverage"] == pytest.approx(sum(map(len, paths.values())) / 120)
+
+
 def test_reports(spark):
     rows = [("report", 100), ("report", 200), ("report", 150), ("memo", 50), ("memo", 75), ("email", 15), ("email", 20), ("presentation", 300)]
     d = spark.createDataFrame(rows, "type string, size long")
