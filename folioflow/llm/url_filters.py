@@ -59,8 +59,9 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row per row of ``pages``: page_id, url, host, path, rule (null if none fits) and verdict."""
     j = judged(pages, rules).withColumnRenamed("url", "_url")
-    p = pages.select("page_id", "url")
-    out = p.join(j, F.col("url") == F.col("_url"), "left")
+    # urls that no rule can fit, null among them, meet nothing: they are dealt by page, as a third of all rows may share one
+    key = F.when(F.col("url").contains("://"), F.col("url")).otherwise(F.xxhash64("page_id").cast("string"))
+    out = pages.select("page_id", "url", key.alias("_key")).join(j, F.col("_key") == F.col("_url"), "left")
     return out.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
