@@ -30,7 +30,9 @@ SHINGLE = 5
 #: The sample that orders shingles: about so many texts, so many shingles, each in so many of the texts.
 SAMPLE, COMMON, TEXTS = 4000, 1 << 16, 4
 #: Compare so many pairs of a key at once.
-PAIRS = 1 << 22
+PAIRS = 1 << 18
+#: A task gives out pairs whenever it has about so many.
+GIVEN = 1 << 16
 #: While a round finds so many links, and this part of all links, another one follows before all pairs between groups are verified.
 MANY = 100
 #: A task holds about so many sets of a key: keys with more are dealt in parts, anew in each round, and in the end by pairs of parts.
@@ -116,41 +118,36 @@ def _fits(n1, p1, m1, n2, p2, m2):
     return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (9 * np.minimum(n1 - p1, n2 - p2) >= 4 * (n1 + n2)) & (9 * np.bitwise_count((m1 ^ m2).view(np.uint64)).astype(np.int64) <= n1 + n2)
 
 
-def _along(fp, n, place, m, group, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each set of a key the next one, in a round of the turn's order, that is of another group and can be alike; and which sets have none."""
-    alone = np.ones(len(fp), bool)
-    none = np.zeros(0, np.int64)
+def _along(fp, n, place, m, group, alone, turn: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each set of a key the next one, in a round of the turn's order, that is of another group and can be alike; clears ``alone`` of sets that have one."""
     if group.min() == group.max():
-        return none, none, alone
+        return
     order = np.argsort((fp ^ np.int64(turn)) * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) + group)
     back, fp, n, place, m, group = order, fp[order], n[order], place[order], m[order], group[order]
-    left, a, b = np.arange(len(fp)), [none], [none]
+    left = np.arange(len(fp))
     for off in range(1, len(fp)):
         to = (left + off) % len(fp)
         ok = (group[left] != group[to]) & _fits(n[left], place[left], m[left], n[to], place[to], m[to])
         x, y = fp[left[ok]], fp[to[ok]]
-        a.append(np.minimum(x, y))
-        b.append(np.maximum(x, y))
+        yield np.minimum(x, y), np.maximum(x, y)
         alone[back[left[ok]]] = False
         left = left[~ok]
         if not len(left):
             break
-    return np.concatenate(a), np.concatenate(b), alone
 
 
-def _between(fp, n, place, m, group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _between(fp, n, place, m, group, alone) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of a key between groups; nothing is left to do with its sets."""
-    alone, found = np.ones(len(fp), bool), [(np.zeros(0, np.int64),) * 2]
-    if group.min() != group.max():
-        order = np.argsort(fp)
-        fp, n, place, m, group = fp[order], n[order], place[order], m[order], group[order]
-        step = max(1, PAIRS // len(fp))
-        for i in range(0, len(fp), step):
-            s = slice(i, i + step)
-            ok = (group[s, None] != group[None, :]) & (fp[s, None] < fp[None, :]) & _fits(n[s, None], place[s, None], m[s, None], n[None, :], place[None, :], m[None, :])
-            x, y = np.nonzero(ok)
-            found.append((fp[x + i], fp[y]))
-    return *map(np.concatenate, zip(*found, strict=True)), alone
+    if group.min() == group.max():
+        return
+    order = np.argsort(fp)
+    fp, n, place, m, group = fp[order], n[order], place[order], m[order], group[order]
+    step = max(1, PAIRS // len(fp))
+    for i in range(0, len(fp), step):
+        s = slice(i, i + step)
+        ok = (group[s, None] != group[None, :]) & (fp[s, None] < fp[None, :]) & _fits(n[s, None], place[s, None], m[s, None], n[None, :], place[None, :], m[None, :])
+        x, y = np.nonzero(ok)
+        yield fp[x + i], fp[y]
 
 
 ROW = ("k", "c", "chunks", "fp", "n", "place", "m", "g")
@@ -181,19 +178,28 @@ def _dealt(rows: DataFrame, turn: int, whole: bool) -> DataFrame:
 def _meeting(keys: DataFrame, pick) -> DataFrame:
     """Rows (a, b) that ``pick`` gives of each part of a key, and, for which b is null, the rows to go on with: those that met one, and all of keys in several parts."""
 
+    def given(found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        a, b = map(np.concatenate, zip(*found, strict=True))
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates().assign(**dict.fromkeys(ROW, None))
+
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def groups(*columns) -> Iterator[pd.DataFrame]:
             k, c, chunks = columns[:3]
             at = np.flatnonzero((np.diff(k, prepend=k[:1] - 1) != 0) | (np.diff(c, prepend=c[:1]) != 0))
             sizes = np.diff(at, append=len(k))
-            a, b, done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], chunks == 1
+            found, n_found, done = [], 0, chunks == 1
             for i in np.flatnonzero(sizes > 1):
                 s = slice(at[i], at[i] + sizes[i])
-                x, y, alone = pick(*(column[s] for column in columns[3:]))
-                a.append(x)
-                b.append(y)
+                alone = np.ones(sizes[i], bool)
+                for x, y in pick(*(column[s] for column in columns[3:]), alone):
+                    found.append((x, y))
+                    n_found += len(x)
+                    if n_found >= GIVEN:
+                        yield given(found)
+                        found, n_found = [], 0
                 done[s] &= alone
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates().assign(**dict.fromkeys(ROW, None))
+            if n_found:
+                yield given(found)
             yield pd.DataFrame({"a": None, "b": None} | {name: x[~done] for name, x in zip(ROW, columns, strict=True)})
 
         rest: list[tuple] = []  # of the last part, which may go on in the next batch

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against all pairs of 5-word shingle sets."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -50,3 +51,17 @@ def test_every_pair_of_similarity_four_fifths_links(spark, chunk, monkeypatch):
     assert len(pairs) > 50
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     assert {x["doc_id"] for x in simhash.deduplicated(d).collect()} == set(label)
+
+
+def test_pairs_of_a_large_key_are_given_in_parts():
+    """One task never holds all pairs of a key, nor large tables of them."""
+    n = 3000
+    one = np.zeros(n, np.int64)
+    fp, alone = np.arange(n, dtype=np.int64), np.ones(n, bool)
+    tracemalloc.start()
+    try:
+        pairs = sum(len(x) for x, _ in set_links._between(fp, one + 100, one, one, fp, alone))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs == n * (n - 1) // 2 and peak < 32e6
