@@ -55,6 +55,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(last)).tobytes(), "big", signed=True)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64 bits by majority over shingles that are given by their hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), SLICE):
+        ones += np.unpackbits(hashes[i : i + SLICE].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -194,16 +202,27 @@ def digest(docs: DataFrame) -> DataFrame:
     return d.join(c, F.col("fp") == F.col("v"), "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def candidates(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of ``fp`` that span the SimHash components of ``sets`` (fp, sim): each with the first of its fingerprint, and the firsts of fingerprints that ``links`` gives."""
+    first = saved(sets.groupBy("sim").agg(F.min("fp").alias("first")))
+    same = sets.select("sim", "fp").join(first, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = links(first.select(F.col("sim").alias("fp")))
+    for v in "ab":
+        near = near.join(first.select(F.col("sim").alias(v), F.col("first").alias(f"f{v}")), v)
+    return saved(same.union(near.select(F.least("fa", "fb"), F.greatest("fa", "fb"))))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near-duplicates: the one of the smallest id (null last), then the first in the input.
 
-    Near-duplicates are not fingerprints' links but those of ``set_links``: a 5-word Jaccard similarity of 4/5 or more.
+    Near-duplicates have a 5-word Jaccard similarity of 4/5 or more. Fingerprints over the same shingles give the first
+    pairs; ``set_links`` verifies these and finds those that differ in more bits.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
-    d = saved(packed.select("doc", set_links.keyed(packed)("text").alias("x"), F.monotonically_increasing_id().alias("row")).select("doc", "row", "x.*"))
+    d = saved(packed.select("doc", set_links.keyed(packed, fingerprint_of)("text").alias("x"), F.monotonically_increasing_id().alias("row")).select("doc", "row", "x.*"))
     ids = d.select(F.col("doc.doc_id").alias("doc_id"), "fp", "row")
-    sets = saved(d.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("n", "m", "sketch", "keys"), "row").alias("x"), F.min("row").alias("row")).select("fp", "row", "x.*"))
-    roots = set_links.roots(sets, d.select("row", F.col("doc.text").alias("text")))
+    sets = saved(d.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("sim", "n", "m", "sketch", "keys"), "row").alias("x"), F.min("row").alias("row")).select("fp", "row", "x.*"))
+    roots = set_links.roots(sets, d.select("row", F.col("doc.text").alias("text")), candidates(sets))
     stays = ids.join(roots, F.col("fp") == F.col("v"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"))
     # the texts are always dealt by row: one plan at every size
     return d.join(saved(stays.select("x.row")).hint("shuffle_merge"), "row", "left_semi").select("doc.*")

@@ -65,3 +65,39 @@ def test_pairs_of_a_large_key_are_given_in_parts():
     finally:
         tracemalloc.stop()
     assert pairs == n * (n - 1) // 2 and peak < 32e6
+
+
+def test_first_pairs_are_those_that_simhash_links(spark, monkeypatch):
+    """The stage verifies the pairs of its SimHash fingerprints, by brute force here, before it looks for others."""
+    r = random.Random(8)
+    docs = []
+    for _ in range(40):
+        base = ["w" + str(r.randrange(5000)) for _ in range(r.choice((300, 600)))]
+        docs.append(" ".join(base))
+        for _ in range(r.randrange(5)):
+            w = list(base)
+            w[r.randrange(len(w))] = "x"
+            docs.append(" ".join(w))
+    sim = {}
+    for t in docs:
+        x = set_links.shingle_set(t)
+        ones = [2 * sum(int(h) >> bit & 1 for h in x.view(np.uint64)) > len(x) for bit in range(64)]
+        sim[t] = sum(1 << (8 * (bit // 8) + bit % 8) for bit in range(64) if ones[bit])
+    names = sorted(sim)
+    label = list(range(len(names)))
+    pairs = [(i, j) for i in label for j in range(i) if (sim[names[i]] ^ sim[names[j]]).bit_count() <= 3]
+    for _ in names:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    seen = []
+    verified = set_links.verified
+    monkeypatch.setattr(set_links, "verified", lambda pairs, sets, texts: (seen.append((pairs, sets, texts)), verified(pairs, sets, texts))[1])
+    simhash.deduplicated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).count()
+    pairs, sets, texts = seen[0]
+    of = {x["fp"]: names.index(x["text"]) for x in sets.join(texts, "row").collect()}
+    given = [(of[x["a"]], of[x["b"]]) for x in pairs.collect()]
+    mine = list(range(len(names)))
+    for _ in names:
+        for i, j in given:
+            mine[i] = mine[j] = min(mine[i], mine[j])
+    assert len(given) > 20 and mine == label
