@@ -223,7 +223,7 @@ SELECT _id, round(score, 6)::DOUBLE AS score, kind FROM (SELECT * FROM s UNION A
     "minhash_signature": f"WITH {SIGNED} SELECT id, array_to_string(sig, ',') AS signature FROM sg",
     "minhash_similar_to": f"WITH {SIGNED}, o AS (SELECT sig AS own FROM sg WHERE id = '1'), s AS (SELECT id, len(list_filter(list_zip(sig, own), lambda z: z[1] = z[2])) / {HASHES}.0 AS j FROM sg, o WHERE id <> '1') SELECT id, round(j, 6)::DOUBLE AS similarity FROM s WHERE j >= 0.5 ORDER BY j DESC, id LIMIT 10",
     "minhash_stats": f"WITH {SETS}, t AS (SELECT count(*) AS n, sum(len(sh)) AS s FROM sets) SELECT n AS num_documents, 100::BIGINT AS signature_size, round(n * 800 / 1024, 6) AS space_signatures_kb, round(s * 50 / 1024, 6) AS space_original_kb, round(s * 50 / (n * 800), 6) AS compression_ratio FROM t",
-    "lsh_pairs": f"WITH {LSH} SELECT id1, id2, round(similarity, 6)::DOUBLE AS similarity FROM sp WHERE similarity >= 0.9",
+    "lsh_pairs": f"WITH {LSH} SELECT least(a.id, b.id) AS id1, greatest(a.id, b.id) AS id2, round(similarity, 6)::DOUBLE AS similarity FROM pw JOIN mem a ON a.class_id = id1 JOIN mem b ON b.class_id = id2 WHERE similarity >= 0.9 AND (id1 <> id2 OR a.id < b.id)",
     "lsh_members": f"WITH {LSH} SELECT id, class_id, members FROM mem",
     "lsh_stats": f"WITH {LSH}, b AS (SELECT band, bucket, sum(members) AS n FROM bd GROUP BY ALL) SELECT (SELECT count(*) FROM sg) AS num_documents, {BANDS}::BIGINT AS num_bands, {_ROWS}::BIGINT AS rows_per_band, count(*) AS total_buckets, round(avg(n), 6) AS avg_bucket_size, (SELECT round(avg(candidates), 6) FROM cc) AS avg_candidates_per_doc, round(pow(1.0 / {BANDS}, 1.0 / {_ROWS}), 6) AS theoretical_threshold FROM b",
     "lsh_savings": f"WITH {LSH}, t AS (SELECT count(*) AS n, sum(candidates)::DOUBLE AS e FROM cc) SELECT n * (n - 1) / 2 AS total_pairs, e AS estimated_comparisons, round((1 - e / (n * (n - 1) / 2)) * 100, 6) AS reduction_percent, round((n * (n - 1) / 2) / e, 6) AS speedup FROM t",
