@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.hashing import MINHASH_EMPTY, MINHASH_MODULUS, minhash_coefficients
 from folioflow.functions.text import char_shingles, jaccard, positioned_shingles, text_or_empty, word_shingles
+from folioflow.operators import set_join
 from folioflow.operators import shingles as numbered
 from folioflow.operators.blocks import Blocks
 from folioflow.operators.graph import components, forest
@@ -103,6 +104,18 @@ def set_classes(sets: DataFrame) -> DataFrame:
     return s.join(least, "h").select("id", "shingles", "class_id")
 
 
+def text_jaccard_pairs(docs: DataFrame, threshold: float = 0.5, k: int = 5, text: Column | None = None) -> DataFrame:
+    """``jaccard_pairs`` of documents' word shingles; keys and sizes are shuffled, texts only of what meets."""
+    if threshold <= 0:
+        raise ValueError("pairs without a common shingle are not searched for: the threshold must be over 0")
+    return set_join.pairs(docs, full_text() if text is None else text, k, threshold)
+
+
+def text_set_classes(docs: DataFrame, k: int = 5, text: Column | None = None) -> DataFrame:
+    """(id, class_id): ``set_classes`` of documents' word shingles, without the sets."""
+    return set_join.set_classes(docs, full_text() if text is None else text, k)
+
+
 class Signer:
     """MinHash signatures of shingle sets in numpy; the numbers of a shingle under all functions are remembered, as 32 bits each."""
 
